@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, url_filter
+from . import exact_dedup, license_scan, mixing, token_counts, unigram, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_counts(spark, sf_dir):
+    return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    return unigram.encode_decode(table(spark, sf_dir, "documents"))
+
+
 EXACT_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
