@@ -151,3 +151,13 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
         value = words[np.where(live, first + j, first)]
         out = np.where(live, (out ^ value) * BASE + (value >> np.uint64(17)), out)
     return mix(out ^ width.astype(np.uint64)), number
+
+
+def slices(column, most: int):
+    """(first, last) row ranges of an Arrow string column, of at most `most` bytes or one row."""
+    _, offsets = text_buffer(column)
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
+        at = to

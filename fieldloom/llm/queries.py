@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, token_counts, unigram, url_filter
+from . import edit_fingerprint, exact_dedup, license_scan, mixing, quality_rules, token_counts, unigram, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op3_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark, sf_dir):
+    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.score(docs, model).select("doc_id", quality_rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
