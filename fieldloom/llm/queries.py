@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprint, exact_dedup, license_scan, mixing, quality_rules, token_counts, unigram, url_filter
+from . import edit_fingerprint, exact_dedup, license_scan, mixing, ngram_join, quality_rules, token_counts, unigram, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.near_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op5_document_fingerprints(spark, sf_dir):
     return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": url_filter.QUERY_SQL,
         "op2_exact_dedup": EXACT_DEDUP_SQL,
         "op3_license_scans": license_scan.query_sql(),
+        "op4_ngram_jaccard_join": ngram_join.QUERY_SQL,
         "op7_source_mixing": mixing.QUERY_SQL,
     }
