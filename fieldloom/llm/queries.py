@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprint, exact_dedup, license_scan, mixing, ngram_join, quality_rules, token_counts, unigram, url_filter
+from . import edit_fingerprint, exact_dedup, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, unigram, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_sentencepiece(spark, sf_dir):
     return unigram.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 EXACT_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
