@@ -3,27 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of these separate words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Runs of space, tab, line feed, vertical tab, form feed and carriage return separate words. They are listed one by
+#: one, as the regular expression engine looks single characters up in a table.
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder.
-
-    The folder is the one named by spark.checkpoint.dir; a temporary one is set only where the session names none.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder: the one that spark.checkpoint.dir names; a temporary one only where it names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut the lineage with a written table in the session's shared folder; and its path."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark, path: str) -> None:
+    """Remove a table that store() wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def squeeze_spaces(text: Column) -> Column:
     """Every run of ASCII white space becomes one space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -72,7 +72,8 @@ def statistics_batch(column) -> np.ndarray:
 
 def statistics(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `carry` and the statistics of every whole text; null counts as empty."""
-    x = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    own = text_col if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string" else "__text"
+    x = docs.select(*carry, *([] if own == text_col else [F.col(text_col).cast("string").alias("__text")]))
     fields = ", ".join([f"`{c}` {x.schema[c].dataType.simpleString()}" for c in carry] + [f"__{s} double" for s in STATISTICS])
     names = [*carry, *[f"__{s}" for s in STATISTICS]]
 
@@ -80,9 +81,9 @@ def statistics(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
         import pyarrow as pa
 
         for b in batches:
-            for i, j in slices(b.column("__text"), 4 << 20):
+            for i, j in slices(b.column(own), 4 << 20):
                 part = b.slice(i, j - i)
-                values = statistics_batch(part.column("__text"))
+                values = statistics_batch(part.column(own))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *[pa.array(v) for v in values.T]], names)
 
     return x.mapInArrow(run, fields)
