@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_buffer, word_hashes
+from .common import slices, text_buffer, word_hashes
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual pre-token pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text that are worked on at once.
+SLICE = 4 << 20
 #: First bytes of UTF-8 sequences that may be white space beyond ASCII.
 _MAYBE_SPACE = (0xC2, 0xE1, 0xE2, 0xE3)
 
@@ -63,7 +65,12 @@ def distinct_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
 
 def count_batch(encoder, column) -> np.ndarray:
-    """Encoded length of each row of an Arrow string column; each distinct chunk is encoded once."""
+    """Encoded length of each row of an Arrow string column; each distinct chunk of some MB is encoded once."""
+    parts = [count_slice(encoder, column.slice(i, j - i)) for i, j in slices(column, SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def count_slice(encoder, column) -> np.ndarray:
     data, offsets = text_buffer(column)
     starts = chunk_starts(data, offsets)
     if not len(starts):

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer
-from .token_counts import distinct_chunks
+from .common import slices, text_buffer
+from .token_counts import SLICE, distinct_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -330,6 +330,12 @@ def decode_batch(m: Model, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def sliced(batches, text: str):
+    for b in batches:
+        for i, j in slices(b.column(text), SLICE):
+            yield b.slice(i, j - i)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """doc_id and ids (array of int) of every row; null and empty texts have no ids. A text's own marks count as spaces."""
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -338,7 +344,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, "text"):
             ids, offsets = encode_batch(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
@@ -379,7 +385,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         m = shared.value
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for b in batches:
+        for b in sliced(batches, "__text"):
             text = b.column("__text")
             ids, offsets = encode_batch(m, text)
             decoded = decode_batch(m, ids, offsets)
