@@ -141,7 +141,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for b in batches:
-            for i, j in slices(b.column("text"), 16 << 20):
+            for i, j in slices(b.column("text"), 6 << 20):
                 n, scale, symbols = fingerprint_batch(b.column("text").slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(as_text(scale, symbols), pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
@@ -275,7 +275,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue  # one copy is enough
                 held.append((bucket, copy, doc_id, raw))
                 size += len(raw)
-                if size > 12 << 20 and len(held) > 1:
+                if size > 6 << 20 and len(held) > 1:
                     yield done(held)
                     held, size = held[-1:], len(raw)
         if len(held) > 1:

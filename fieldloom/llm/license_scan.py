@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import materialize
 
-#: Words: ASCII letters and digits, and all other code points beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Between words stands all of ASCII but letters and digits; listed one by one, as the regular expression engine looks
+#: single characters up in a table. Texts are lower-cased before.
+GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() or chr(c).isupper()) + "]+"
+#: The one code point beyond ASCII whose lower case is a letter of ASCII alone, and a stand-in that is none.
+KELVIN, OTHER = "\u212a", "\u0137"
 #: (label, phrase) that count wherever their words stand consecutively.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 #: (label, text) that may differ a little where they occur.
@@ -33,55 +36,79 @@ def template_grams(spark, base=BASE, templates=TEMPLATES) -> DataFrame:
     rows = []
     for k, (label, text) in enumerate([*base, *templates]):
         words = text.split()
+        if not text.isascii() or text != text.lower():
+            raise ValueError("templates are lower case ASCII")
         if not 2 <= len(words) <= 60:
             raise ValueError("a template has 2 to 60 words")
         rows += [(a, b, k, i, len(words) - 1, label, k < len(base)) for i, (a, b) in enumerate(zip(words, words[1:]))]
     return spark.createDataFrame(rows, "w0 string, w1 string, template int, tpos int, total int, label string, exact boolean")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, coverage: float = 0.8, **lists) -> DataFrame:
-    """Verified spans: doc_id, template, label, exact, start (word), coverage.
+def split_words(text: Column) -> Column:
+    """Lower-cased words of a text; their ASCII letters are those that lower-casing A-Z alone gives."""
+    parts = F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(OTHER))), GAP)
+    lead = (F.element_at(parts, 1) == "").cast("int")
+    trail = (F.element_at(parts, -1) == "").cast("int")
+    return F.slice(parts, lead + 1, F.greatest(F.size(parts) - lead - trail, F.lit(0)))
+
 
-    Every rolling 2-gram of words is joined by its hash to the templates' positions (a hash match counts only if the
-    words agree). A match votes for the diagonal word position - template position. An exact phrase needs all its
-    2-grams on one diagonal. Of other templates, diagonals up to `gap` apart merge; the merged span holds if it has
-    `coverage` of the template's 2-grams within 1.5 times its length.
+def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lists) -> DataFrame:
+    """Votes (doc_id, template, label, exact, total, diagonal, mask, first, last), and for each id a row without template
+    whose `last` is its number of words. One pass over the texts, checkpointed.
 
-    Rows with the same id are taken as one document's. Null and empty texts have no spans.
+    Every rolling 2-gram of words is joined by its hash to the templates' positions; a hash match counts only if the
+    words agree. A match votes for the diagonal word position - template position; mask has the template positions.
     """
-    # A third of the words of a long text may match, but votes are counted before any shuffle.
-    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
+    words = docs.select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))
-    rolling = words.where(F.size("words") > 1).select("doc_id", F.posexplode(pairs).alias("dpos", "gram")).select("doc_id", "dpos", "gram.a", "gram.b")
-    rolling = rolling.withColumn("hash", F.xxhash64(F.lower("a"), F.lower("b")))
-    grams = template_grams(docs.sparkSession, **lists).withColumn("hash", F.xxhash64(F.lower("w0"), F.lower("w1")))
-    hits = rolling.join(F.broadcast(grams), (rolling["hash"] == grams["hash"]) & (lower_ascii(F.col("a")) == F.col("w0")) & (lower_ascii(F.col("b")) == F.col("w1")))
-    key = ["doc_id", "template", "label", "exact", "total"]
-    one = F.expr("shiftleft(1L, tpos)")
-    diagonals = hits.groupBy(*key, (F.col("dpos") - F.col("tpos")).alias("diagonal")).agg(
-        F.bit_or(one).alias("mask"), F.min("dpos").alias("first"), F.max("dpos").alias("last")
-    )
-    exact = diagonals.where("exact and bit_count(mask) = total").select("doc_id", "template", "label", "exact", F.col("first").alias("start"), F.lit(1.0).alias("coverage"))
+    # The pair at the end has no second word; a pair of nothing is put before it all, and carries the number of words.
+    pairs = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("a"), F.size("words").cast("string").alias("b"))), pairs)
+    rolling = words.select("doc_id", F.posexplode(pairs).alias("at", "gram")).select("doc_id", (F.col("at") - 1).alias("dpos"), "gram.a", "gram.b")
+    rolling = rolling.withColumn("hash", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.xxhash64("a", "b")))
+    grams = template_grams(docs.sparkSession, **lists).withColumn("hash", F.xxhash64("w0", "w1"))
+    hits = rolling.join(F.broadcast(grams), (rolling["hash"] == grams["hash"]) & (F.col("a") == F.col("w0")) & (F.col("b") == F.col("w1")), "left")
+    hits = hits.where("template is not null or dpos < 0")
+    votes = hits.groupBy("doc_id", "template", "label", "exact", "total", (F.col("dpos") - F.coalesce("tpos", F.lit(0))).alias("diagonal")).agg(
+        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("dpos").alias("first"),
+        F.sum(F.when(F.col("dpos") < 0, F.col("b").cast("long"))).alias("n_words"), F.max("dpos").alias("last"),
+    )
+    return materialize(votes)
+
+
+def spans_of(votes: DataFrame, gap: int = 2, coverage: float = 0.8) -> DataFrame:
+    """Verified spans of votes: doc_id, template, label, exact, start (word), coverage.
+
+    An exact phrase needs all its 2-grams on one diagonal. Of other templates, diagonals up to `gap` apart merge; the
+    merged span holds if it has `coverage` of the template's 2-grams within 1.5 times its length.
+    """
+    exact = votes.where("exact and bit_count(mask) = total").select("doc_id", "template", "label", "exact", F.col("first").alias("start"), F.lit(1.0).alias("coverage"))
     line = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    loose = diagonals.where("not exact").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > gap).cast("long"), F.lit(0).cast("long")))
+    loose = votes.where("not exact").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > gap).cast("long"), F.lit(0).cast("long")))
     loose = loose.withColumn("cluster", F.sum("new").over(line))
-    loose = loose.groupBy(*key, "cluster").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
+    loose = loose.groupBy("doc_id", "template", "label", "exact", "total", "cluster").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
     loose = loose.withColumn("coverage", F.bit_count("mask") / F.col("total"))
     loose = loose.where((F.col("coverage") >= coverage) & ((F.col("last") - F.col("start") + 1) * 2 <= F.col("total") * 3))
     return exact.unionByName(loose.select(*exact.columns))
 
 
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, coverage: float = 0.8, **lists) -> DataFrame:
+    """Verified spans of all texts. Rows with the same id are taken as one document's; null and empty texts have none."""
+    return spans_of(diagonals(docs, id_col, text_col, **lists), gap, coverage)
+
+
 def joined(labels: Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(labels), ","), F.lit(""))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, coverage: float = 0.8, **lists) -> DataFrame:
+    """One row per id of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the largest coverage of a verified span, or 0. A null text counts as empty: no words, null first and
-    last word, empty labels. Rows with equal ids get what all their texts hold together; null ids are one such id.
+    last word, empty labels. Rows with equal ids are one document whose words are
+    those of all, and whose places are each row's own; null ids are one such id.
     """
-    found = spans(docs, id_col, text_col, **kw).groupBy("doc_id").agg(
+    votes = diagonals(docs, id_col, text_col, **lists)
+    found = spans_of(votes, gap, coverage).groupBy("doc_id").agg(
         F.count(F.when(F.col("exact"), 1)).alias("n_base"),
         F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("exact"), F.col("start"))).cast("long").alias("last_word"),
@@ -89,8 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw)
         joined(F.collect_set("label")).alias("labels"),
         F.max("coverage").alias("score"),
     )
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    a, b = sizes.alias("a"), found.alias("b")
+    a, b = votes.where("template is null").select("doc_id", "n_words").alias("a"), found.alias("b")
     return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
         "a.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
