@@ -10,8 +10,8 @@ windows have equal anchors at equal places.
    the remaining offsets, until the whole window is compared. Identifiers are computed once and used in every round.
 3. Windows left with others are repeated; their runs are the removed spans.
 
-Buckets of more than `hot` places are refined window by window across the cluster: the identifiers of a whole window are
-the key, and counts are formed before the shuffle.
+A bucket of more than `hot` places is refined in parts. Each part also gives one place of each of its distinct windows,
+and these meet by the identifiers of the whole window.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE_CODE, mix, powers, slices, text_buffer
 
 LENGTH, GRAM, HOT = 200, 64, 20_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bits of a composite minimum that hold the place within a slice; the rest are of the hash.
 PLACE = np.uint64(27)
 BASES = (BASE, np.uint64(0xD1342543DE82EF95))
@@ -88,31 +88,14 @@ def anchor_rows(texts: DataFrame, length: int, q: int) -> DataFrame:
     return texts.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, pos int, lo int, hi int")
 
 
-def several(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that have more than one place. Sorted rows pass by; one is held."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        held = given = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            whole = pa.Table.from_batches(([held] if held is not None else []) + [b]).combine_chunks()
-            h = whole.column("h").to_numpy()
-            same = h[1:] == h[:-1]
-            give = np.zeros(len(h), bool)
-            give[1:] |= same
-            give[:-1] |= same
-            if held is not None and given:
-                give[0] = False
-            given_last = bool(len(h) > 1 and same[-1]) or bool(len(h) == 1 and given)
-            if give.any():
-                yield from whole.filter(pa.array(give)).to_batches()
-            held, given = whole.slice(len(h) - 1).combine_chunks().to_batches()[0], given_last
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "h long, k1 long, k2 long, pos int, lo int, hi int")
+def shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
+    """The rows of buckets that have more than one place, with a part of the bucket: 0, or one of as many parts of about
+    `hot` rows as a larger bucket needs (`big`). Counts are formed before the shuffle; a hot bucket's side of the join is
+    split by adaptive execution."""
+    counts = rows.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    x = rows.join(counts, "h").withColumn("big", F.col("n") > hot)
+    part = F.when(F.col("big"), F.pmod(F.xxhash64("k1", "k2", "pos"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0)).cast("int")
+    return x.withColumn("part", part).drop("n")
 
 
 def window_starts(lo: np.ndarray, hi: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +141,7 @@ def _runs(of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """rows with `bytes`: the text from the anchor's first window's start to its last window's end."""
-    lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("marks"))  # of one text
+    lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "part", "big", "pos", "lo", "hi")).alias("marks"))  # of one text
     both = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"])
 
     def run(batches):
@@ -173,29 +156,66 @@ def contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 flat = marks.flatten()
                 h, pos, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("h", "pos", "lo", "hi"))
+                part, big = flat.field("part"), flat.field("big")
                 size = hi.astype(np.int64) - lo + length
                 stop = np.cumsum(size)
                 at = np.repeat(offsets[row] + lo - (stop - size), size) + np.arange(size.sum())
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, stop].astype(np.int32)), pa.py_buffer(data[at])])
                 k1, k2 = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k1", "k2"))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k1), pa.array(k2), pa.array(pos), pa.array(lo), pa.array(hi), raw], ["h", "k1", "k2", "pos", "lo", "hi", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), part, big, pa.array(k1), pa.array(k2), pa.array(pos), pa.array(lo), pa.array(hi), raw], ["h", "part", "big", "k1", "k2", "pos", "lo", "hi", "bytes"])
+
+    return both.mapInArrow(run, "h long, part int, big boolean, k1 long, k2 long, pos int, lo int, hi int, bytes binary")
+
 
-    return both.mapInArrow(run, "h long, k1 long, k2 long, pos int, lo int, hi int, bytes binary")
+def whole_names(h: np.ndarray, of: np.ndarray, at: np.ndarray, data: np.ndarray, length: int, q: int) -> list[np.ndarray]:
+    """Two 64-bit identifiers of each window."""
+    out = []
+    for which in (0, 1):
+        names, key = gram_names(data, q, which), mix(h[of])
+        for d in sorted({*range(0, length - q + 1, q), length - q}):
+            key = mix(key ^ (names[at + d] + np.uint64(d + 1)))
+        out.append(key)
+    return out
+
+
+RUNS = "kind int, w1 long, w2 long, k1 long, k2 long, first int, last int"
 
 
 def repeated_windows(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """(k1, k2, first, last): runs of starts of repeated windows, refined bucket by bucket. Rows pass by sorted; the last
-    bucket of a batch waits for the next."""
+    """Runs of starts of windows that occur more than once in their part of a bucket (kind 0), and of the parts of big
+    buckets one place of each distinct window (kind 1), named by w1 and w2.
+
+    Rows pass by sorted; the last part of a bucket in a batch waits for the next.
+    """
 
     def solve(table):
         import pyarrow as pa
 
         table = table.combine_chunks()
-        k1, k2, h, pos, lo, hi = (table.column(c).to_numpy() for c in ("k1", "k2", "h", "pos", "lo", "hi"))
+        k1, k2, h, pos, lo, hi, part, big = (table.column(c).to_numpy() for c in ("k1", "k2", "h", "pos", "lo", "hi", "part", "big"))
         data, begin = text_buffer(table.column("bytes"))
-        of, start = refine(h.view(np.uint64), lo.astype(np.int64), hi.astype(np.int64), pos.astype(np.int64), data, begin[:-1], length, q)
+        begin = begin[:-1]
+        bucket = h.view(np.uint64) + mix(part.astype(np.uint64) + np.uint64(1))
+        lo, hi, pos = lo.astype(np.int64), hi.astype(np.int64), pos.astype(np.int64)
+        of, start = refine(bucket, lo, hi, pos, data, begin, length, q)
         of, a, z = _runs(of, start)
-        return pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), pa.array((lo[of] + a).astype(np.int32)), pa.array((lo[of] + z).astype(np.int32))], ["k1", "k2", "first", "last"])
+        cols = [np.zeros(len(of), np.int32), k1[of], k2[of], k1[of], k2[of], (lo[of] + a).astype(np.int32), (lo[of] + z).astype(np.int32)]
+        if big.any():
+            some = np.flatnonzero(big)
+            of, at = window_starts(lo[some], hi[some], begin[some])
+            of = some[of]
+            w1, w2 = whole_names(h.view(np.uint64), of, at, data, length, q)
+            order = np.lexsort((w2, w1, bucket[of]))
+            fresh = np.ones(len(order), bool)
+            for x in (w1, w2, bucket[of]):
+                x = x[order]
+                fresh[1:] &= x[1:] == x[:-1]
+            fresh[1:] = ~fresh[1:]
+            one = order[fresh]
+            of, s = of[one], (lo[of[one]] + at[one] - begin[of[one]]).astype(np.int32)
+            more = [np.ones(len(of), np.int32), w1[one].view(np.int64), w2[one].view(np.int64), k1[of], k2[of], s, s]
+            cols = [np.concatenate(c) for c in zip(cols, more)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "w1", "w2", "k1", "k2", "first", "last"])
 
     def run(batches):
         import pyarrow as pa
@@ -204,51 +224,53 @@ def repeated_windows(rows: DataFrame, length: int, q: int) -> DataFrame:
         for whole in batches:
             for i, j in slices(whole.column("bytes"), SLICE):
                 b = whole.slice(i, j - i)
-                h = b.column("h").to_numpy(zero_copy_only=False)
-                if not len(h):
+                if not b.num_rows:
                     continue
-                if size > SLICE:  # all but the last bucket is complete
+                if size > SLICE:  # all but the last part of a bucket is complete
                     table = pa.Table.from_batches(held)
-                    hs = table.column("h").to_numpy()
-                    cut = int(np.flatnonzero(hs != hs[-1])[-1]) + 1 if hs[0] != hs[-1] else 0
-                    if cut:
+                    h, part = table.column("h").to_numpy(), table.column("part").to_numpy()
+                    other = np.flatnonzero((h != h[-1]) | (part != part[-1]))
+                    if len(other):
+                        cut = int(other[-1]) + 1
                         yield solve(table.slice(0, cut))
                         held = table.slice(cut).to_batches()
-                        size = sum(x.nbytes for x in held)
+                        size = sum(int(text_buffer(x.column("bytes"))[1][-1]) for x in held)
                 held.append(b)
                 size += int(text_buffer(b.column("bytes"))[1][-1])
         if held:
             yield solve(pa.Table.from_batches(held))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, first int, last int")
+    return rows.repartition(parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(run, RUNS)
 
 
-def repeated_hot_windows(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """The same for buckets of any size: each window's identifiers are a key, counted before the shuffle."""
+def across_parts(runs: DataFrame) -> DataFrame:
+    """Runs of kind 0, and those of kind 1 whose window another part of the bucket has too: no window has more rows than
+    its bucket has parts."""
 
     def run(batches):
         import pyarrow as pa
 
-        later = sorted({*range(0, length - q + 1, q), length - q})
-        for whole in batches:
-            for i, j in slices(whole.column("bytes"), SLICE):
-                b = whole.slice(i, j - i)
-                k1, k2, h, lo, hi = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "h", "lo", "hi"))
-                data, begin = text_buffer(b.column("bytes"))
-                of, at = window_starts(lo.astype(np.int64), hi.astype(np.int64), begin[:-1])
-                keys = []
-                for which in (0, 1):
-                    names, key = gram_names(data, q, which), mix(h[of].view(np.uint64))
-                    for d in later:
-                        key = mix(key ^ (names[at + d] + np.uint64(d + 1)))
-                    keys.append(key.view(np.int64))
-                start = (lo[of] + at - begin[:-1][of]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, k1[of], k2[of], start)], ["w1", "w2", "k1", "k2", "first"])
-
-    windows = rows.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, first int")
-    many = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(many, ["w1", "w2"]).select("k1", "k2", "first", F.col("first").alias("last"))
+        held, given = None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = pa.Table.from_batches(([held] if held is not None else []) + [b]).combine_chunks()
+            kind, w1, w2 = (whole.column(c).to_numpy() for c in ("kind", "w1", "w2"))
+            same = (kind[1:] == 1) & (kind[:-1] == 1) & (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+            give = kind == 0
+            give[1:] |= same
+            give[:-1] |= same
+            was = given
+            given = bool(give[-1]) if len(kind) > 1 or held is None else given
+            if held is not None and was:
+                give[0] = False
+            if give.any():
+                yield from whole.filter(pa.array(give)).select(["k1", "k2", "first", "last"]).to_batches()
+            held = whole.slice(len(kind) - 1).combine_chunks().to_batches()[0]
+
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(parts, "w1", "w2").sortWithinPartitions("kind", "w1", "w2").mapInArrow(run, "k1 long, k2 long, first int, last int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM, hot: int = HOT, kept_text: bool = False) -> DataFrame:
@@ -262,13 +284,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     x = x.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("second"), "text"))
-    # One plan uses the shuffled texts three times; equal texts meet before the shuffle.
+    # One plan reads the shuffled texts three times; equal texts meet before the shuffle.
     texts = x.groupBy("k1", "k2").agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    marks = several(anchor_rows(texts, length, q))
-    big = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h")
-    cold = contexts(marks.join(big, "h", "left_anti"), texts, length)
-    warm = contexts(marks.join(big, "h", "left_semi"), texts, length)
-    found = repeated_windows(cold, length, q).unionByName(repeated_hot_windows(warm, length, q))
+    marks = shared_anchors(anchor_rows(texts, length, q), hot)
+    found = across_parts(repeated_windows(contexts(marks, texts, length), length, q))
     spans = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # of one text
 
     def cut(batches):
