@@ -79,7 +79,8 @@ def spans_of(votes: DataFrame, gap: int = 2, coverage: float = 0.8) -> DataFrame
     """Verified spans of votes: doc_id, template, label, exact, start (word), coverage.
 
     An exact phrase needs all its 2-grams on one diagonal. Of other templates, diagonals up to `gap` apart merge; the
-    merged span holds if it has `coverage` of the template's 2-grams within 1.5 times its length.
+    merged span holds if it has `coverage` of the template's 2-grams within 1.5 times its length, and if no other of more
+    coverage begins at most `gap` words away.
     """
     exact = votes.where("exact and bit_count(mask) = total").select("doc_id", "template", "label", "exact", F.col("first").alias("start"), F.lit(1.0).alias("coverage"))
     line = Window.partitionBy("doc_id", "template").orderBy("diagonal")
@@ -88,6 +89,8 @@ def spans_of(votes: DataFrame, gap: int = 2, coverage: float = 0.8) -> DataFrame
     loose = loose.groupBy("doc_id", "template", "label", "exact", "total", "cluster").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
     loose = loose.withColumn("coverage", F.bit_count("mask") / F.col("total"))
     loose = loose.where((F.col("coverage") >= coverage) & ((F.col("last") - F.col("start") + 1) * 2 <= F.col("total") * 3))
+    around = Window.partitionBy("doc_id").orderBy("start").rangeBetween(-gap, gap)
+    loose = loose.withColumn("most", F.max("coverage").over(around)).where("coverage >= most")
     return exact.unionByName(loose.select(*exact.columns))
 
 
@@ -140,10 +143,12 @@ e AS (SELECT g.doc_id, t.label, true AS exact, lo AS start, 1.0::DOUBLE AS cover
 m AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM (
   SELECT g.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS fresh FROM g)),
 c AS (SELECT doc_id, template, cluster, len(list_distinct(flatten(list(js)))) AS n, min(lo) AS lo, max(hi) AS hi FROM m GROUP BY ALL),
-f AS (
-  SELECT * FROM e UNION ALL
-  SELECT c.doc_id, t.label, false, lo, n::DOUBLE / (len(t.words) - 1) FROM c JOIN t USING (template)
+h AS (
+  SELECT c.doc_id, t.label, false AS exact, lo AS start, n::DOUBLE / (len(t.words) - 1) AS cover FROM c JOIN t USING (template)
   WHERE NOT t.exact AND n::DOUBLE / (len(t.words) - 1) >= 0.8 AND (hi - lo + 1) * 2 <= (len(t.words) - 1) * 3),
+f AS (
+  SELECT * FROM e UNION ALL SELECT doc_id, label, exact, start, cover FROM (
+    SELECT *, max(cover) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS most FROM h) WHERE cover >= most),
 s AS (
   SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
