@@ -85,7 +85,7 @@ def anchor_rows(texts: DataFrame, length: int, q: int) -> DataFrame:
                 k1, k2 = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k1", "k2"))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), *[pa.array(x.astype(np.int32)) for x in (pos, lo, hi)]], ["h", "k1", "k2", "pos", "lo", "hi"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, pos int, lo int, hi int")
+    return texts.mapInArrow(run, "h long, k1 long, k2 long, pos int, lo int, hi int")
 
 
 def shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _runs(of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """rows with `bytes`: the text from the anchor's first window's start to its last window's end."""
     lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "part", "big", "pos", "lo", "hi")).alias("marks"))  # of one text
-    both = texts.select("k1", "k2", "text").join(lists, ["k1", "k2"])
+    both = texts.join(lists, ["k1", "k2"])
 
     def run(batches):
         import pyarrow as pa
@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     x = x.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("second"), "text"))
-    # One plan reads the shuffled texts three times; equal texts meet before the shuffle.
+    # Equal texts meet before the shuffle. One plan reads the shuffled texts four times; no reader drops a column of
+    # them, as then they would be shuffled again.
     texts = x.groupBy("k1", "k2").agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     marks = shared_anchors(anchor_rows(texts, length, q), hot)
     found = across_parts(repeated_windows(contexts(marks, texts, length), length, q))
