@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import blend as B
 from ..functions import compare as C
 from ..functions import maths as M
-from ..operators import filters, graph, matching, meta, paths, probes, spatial
+from ..functions import noise
+from ..operators import fields, filters, geometry, graph, matching, meta, packing, paths, probes, search, spatial
 from ..sources import shapes, tables
 
 _QUERIES: dict = {}
@@ -988,3 +989,175 @@ for _m, _sql in {"euclidean": "sqrt(pow(x, 2) + pow(y, 2) + pow(z, 2))", "manhat
     query(f"WITH {PTS} SELECT id, round({_sql}, 6) AS distance FROM pts", f"distance_{_m}")(
         lambda s, d, m=_m: tables.embedding_points(s, d).select("id", F.round(M.distance(M.axes(), [F.lit(0.0)] * 3, m), 6).alias("distance"))
     )
+
+
+# --- Kernels ---------------------------------------------------------------------------------------------------------
+
+
+def _weighted(s, d):
+    e = graph.edge_properties(_knn_edges(s, d), tables.embedding_points(s, d)).withColumnRenamed("length", "weight")
+    return e.withColumn("cluster_id", F.lit(0).cast("long"))
+
+
+@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
+def pathfinding_dijkstra(s, d):
+    goals = tables.embedding_points(s, d).where("id % 50 = 49").select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+    return search.paths(_weighted(s, d), goals).where("cost is not null").select("start", "goal", *r6("cost"))
+
+
+@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
+def pathfinding_bidirectional(s, d):
+    goals = tables.embedding_points(s, d).where("id % 50 = 49").select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+    return search.paths(_weighted(s, d), goals, "bidirectional").where("cost is not null").select("start", "goal", *r6("cost"))
+
+
+@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
+def pathfinding_astar(s, d):
+    p = tables.embedding_points(s, d).withColumn("cluster_id", F.lit(0).cast("long"))
+    goals = p.where("id % 50 = 49").select("cluster_id", F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+    return search.paths(_weighted(s, d), goals, "astar", p).where("cost is not null").select("start", "goal", *r6("cost"))
+
+
+@query()
+def pathfinding_plot_edges(s, d):
+    stops = tables.embedding_points(s, d).where("id % 100 = 0").select(F.lit(0).cast("long").alias("cluster_id"), F.col("id").alias("idx"), "id")
+    return search.plot(_weighted(s, d), stops).select("start", "goal", *r6("cost"), F.size("path").cast("long").alias("nodes"))
+
+
+@query()
+def flood_fill(s, d):
+    seeds = s.createDataFrame([(0, 0), (0, 7)], "cluster_id long, node long")
+    return search.flood_fill(_weighted(s, d), seeds, max_depth=8).select("node", "seed", "depth", "order", *r6("distance"), "ending")
+
+
+@query()
+def centrality_betweenness(s, d):
+    return search.centrality(_weighted(s, d)).select("node", *r6("betweenness", "closeness", "harmonic"))
+
+
+@query()
+def refine_bridges(s, d):
+    return search.bridges(_weighted(s, d)).select("src", "dst")
+
+
+@query()
+def probe_greedy_spanner(s, d):
+    return search.spanner(tables.embedding_points(s, d)).select("dataset_id", "src", "dst", *r6("length"))
+
+
+@query()
+def cluster_break_to_paths(s, d):
+    return search.break_to_paths(_weighted(s, d)).drop("cluster_id")
+
+
+@query()
+def convex_hull_2d(s, d):
+    return geometry.convex_hull(tables.embedding_points(s, d)).select("dataset_id", "idx", "id")
+
+
+@query()
+def delaunay_2d(s, d):
+    return geometry.delaunay_edges(tables.embedding_points(s, d))
+
+
+@query()
+def topology_point_surface(s, d):
+    return geometry.delaunay_triangles(tables.embedding_points(s, d))
+
+
+@query()
+def voronoi_2d(s, d):
+    return geometry.voronoi(tables.embedding_points(s, d)).select("dataset_id", "site", *r6("x", "y"))
+
+
+@query()
+def lloyd_relax_2d(s, d):
+    return geometry.lloyd(tables.embedding_points(s, d), 2).select("dataset_id", "id", *r6("x", "y"))
+
+
+@query()
+def clipper_rect_clip(s, d):
+    rings = geometry.convex_hull(tables.embedding_points(s, d)).withColumnRenamed("dataset_id", "path_id")
+    return geometry.clip(rings, (-0.5, -0.5), (0.5, 0.5)).select("path_id", "idx", *r6("x", "y"))
+
+
+@query()
+def clipper_triangulate(s, d):
+    rings = geometry.convex_hull(tables.embedding_points(s, d)).withColumnRenamed("dataset_id", "path_id")
+    return geometry.triangulate(rings)
+
+
+@query()
+def find_all_cells(s, d):
+    p = tables.embedding_points(s, d)
+    e = geometry.delaunay_edges(p).withColumnRenamed("dataset_id", "cluster_id")
+    return geometry.cells(e, p.withColumnRenamed("dataset_id", "cluster_id"))
+
+
+@query(f"WITH {_KE}, u AS (SELECT src AS a, dst AS b FROM ke UNION ALL SELECT dst, src FROM ke), m AS (SELECT a, avg(x) AS mx FROM u JOIN pts ON id = b GROUP BY a) SELECT id, round(x + (mx - x) * 0.5, 6) AS x FROM pts JOIN m ON a = id")
+def relax_laplacian(s, d):
+    return fields.relax(_knn_edges(s, d), tables.embedding_points(s, d), 1, 0.5).select("id", *r6("x"))
+
+
+_FLOW = f"""WITH {PTS}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.16) SELECT id, round(sum(dx * w), 6) AS vx, count(*) AS pings FROM n GROUP BY id"""
+
+
+def _effectors(s, d):
+    a, b = _split(s, d)
+    return a, b.withColumn("dx", F.col("y")).withColumn("dy", F.lit(0.0)).withColumn("dz", F.lit(1.0))
+
+
+@query(_FLOW)
+def tensor_flow(s, d):
+    a, b = _effectors(s, d)
+    return fields.sample(a, b, 0.4).select("id", *r6("vx"), "pings")
+
+
+@query(_FLOW.replace("b.y AS dx", f"coalesce((b.x - a.x) / nullif(sqrt({D2()}), 0), 0) AS dx"))
+def tensor_pole(s, d):
+    a, b = _effectors(s, d)
+    return fields.sample(a, b, 0.4, "pole").select("id", *r6("vx"), "pings")
+
+
+@query(_FLOW.replace("b.y AS dx", "0 * (b.z - a.z) - 1.0 * (b.y - a.y) AS dx"))
+def tensor_spin(s, d):
+    a, b = _effectors(s, d)
+    return fields.sample(a, b, 0.4, "spin").select("id", *r6("vx"), "pings")
+
+
+@query()
+def tensors_transform(s, d):
+    a, b = _effectors(s, d)
+    return fields.transform(a, b, 0.4, 0.05, 3).select("id", *r6("x", "y", "z", "traveled"), "updates", "stopped")
+
+
+@query()
+def bin_packing(s, d):
+    boxes = T(s, d, "part").select(F.col("p_brand").alias("dataset_id"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("sx"), F.lit(10.0).alias("sy"), (F.col("p_partkey") % 20 + 1).cast("double").alias("sz"))
+    return packing.pack(boxes, (60.0, 40.0, 40.0))
+
+
+@query()
+def valency_bonding(s, d):
+    return packing.bond(_weighted(s, d), 5, [[i != j for j in range(5)] for i in range(5)]).drop("cluster_id")
+
+
+for _name in noise.NOISES:
+    query(None, f"noise_{_name}")(lambda s, d, n=_name: tables.embedding_points(s, d).select("id", F.round(noise.noise(n, "x", "y", "z", 3.0), 6).alias("value")))
+
+
+@query()
+def self_pruning(s, d):
+    return spatial.self_prune(tables.embedding_points(s, d), 0.25, F.col("id")).select("id")
+
+
+@query()
+def sample_inside_path(s, d):
+    p = tables.embedding_points(s, d)
+    return paths.inside_path(p, geometry.convex_hull(p).withColumnRenamed("dataset_id", "path_id").withColumn("z", F.lit(0.0)))
+
+
+@query()
+def path_crossings(s, d):
+    p = tables.embedding_points(s, d).withColumnRenamed("dataset_id", "path_id")
+    return paths.crossings(p, 0.5).select("path_id", "idx", "r_path_id", "r_idx", *r6("alpha", "x", "y"))
