@@ -11,7 +11,7 @@ from ..functions import blend as B
 from ..functions import compare as C
 from ..functions import maths as M
 from ..functions import noise
-from ..operators import fields, filters, geometry, graph, matching, meta, packing, paths, probes, search, spatial
+from ..operators import clusters, fields, filters, geometry, graph, matching, meta, packing, paths, probes, search, spatial
 from ..sources import shapes, tables
 
 _QUERIES: dict = {}
@@ -1161,3 +1161,105 @@ def sample_inside_path(s, d):
 def path_crossings(s, d):
     p = tables.embedding_points(s, d).withColumnRenamed("dataset_id", "path_id")
     return paths.crossings(p, 0.5).select("path_id", "idx", "r_path_id", "r_idx", *r6("alpha", "x", "y"))
+
+
+# --- Clusters --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_KE} SELECT src, dst FROM ep WHERE length > 0.3")
+def edge_filter_length(s, d):
+    return clusters.edge_length_filter(_knn_edges(s, d), tables.embedding_points(s, d), ">", 0.3).select("src", "dst")
+
+
+@query(f"WITH {_KE} SELECT src, dst FROM ep WHERE coalesce(dx / nullif(length, 0), 0) >= 0.5")
+def edge_filter_direction(s, d):
+    return clusters.edge_direction_filter(_knn_edges(s, d), tables.embedding_points(s, d), (1.0, 0.0, 0.0), 0.5).select("src", "dst")
+
+
+_KD = f"{_KB}, kd AS (SELECT node, count(*) AS g FROM kb GROUP BY node)"
+for _m, _cond in {"any": "a.g > 4 OR b.g > 4", "both": "a.g > 4 AND b.g > 4", "sum": "a.g + b.g > 4"}.items():
+    query(f"WITH {_KD} SELECT src, dst FROM ke JOIN kd a ON a.node = src JOIN kd b ON b.node = dst WHERE {_cond}", f"edge_filter_num_vtx_{_m}")(
+        lambda s, d, m=_m: clusters.edge_degree_filter(_knn_edges(s, d), ">", 4, m).select("src", "dst")
+    )
+
+
+@query(f"WITH {_KD} SELECT node FROM kd WHERE g >= 4")
+def vtx_filter_num_edges(s, d):
+    return clusters.vertex_degree_filter(_knn_edges(s, d), ">=", 4)
+
+
+_SPK = f"{_KE}, sp AS (SELECT src AS node, dst AS other, q.x - p.x AS vx, q.y - p.y AS vy, q.z - p.z AS vz, length FROM ep JOIN pts p ON p.id = src JOIN pts q ON q.id = dst UNION ALL SELECT dst, src, p.x - q.x, p.y - q.y, p.z - q.z, length FROM ep JOIN pts p ON p.id = src JOIN pts q ON q.id = dst)"
+
+
+@query(f"WITH {_SPK}, r AS (SELECT node, max(vx) - min(vx) AS a, max(vy) - min(vy) AS b, max(vz) - min(vz) AS c FROM sp GROUP BY node) SELECT node, round(a, 6) AS range_x, round(sqrt(a * a + b * b + c * c), 6) AS amplitude FROM r")
+def vtx_amplitude(s, d):
+    return clusters.amplitude(_knn_edges(s, d), tables.embedding_points(s, d)).select("node", *r6("range_x", "amplitude"))
+
+
+@query(f"WITH {_SPK} SELECT node, arg_min(other, (-vx / length, other)) AS matched, round(max(vx / length), 6) AS dot FROM sp GROUP BY node")
+def vtx_edge_match(s, d):
+    return clusters.edge_match(_knn_edges(s, d), tables.embedding_points(s, d), (1.0, 0.0, 0.0)).select("node", "matched", *r6("dot"))
+
+
+_ORB = f"{_SPK}, ob AS (SELECT node, bit_or(CASE WHEN vx / length >= 0.7 THEN 1 ELSE 0 END | CASE WHEN -vx / length >= 0.7 THEN 2 ELSE 0 END | CASE WHEN vy / length >= 0.7 THEN 4 ELSE 0 END) AS mask FROM sp GROUP BY node)"
+_WAYS = [(1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 1.0, 0.0)]
+
+
+@query(f"WITH {_ORB} SELECT node, mask::BIGINT AS mask FROM ob")
+def valency_write_orbitals(s, d):
+    return clusters.orbitals(_knn_edges(s, d), tables.embedding_points(s, d), _WAYS)
+
+
+@query(f"WITH {_ORB}, u AS (SELECT src AS a, dst AS b FROM ke UNION ALL SELECT dst, src FROM ke) SELECT a, b FROM u JOIN ob p ON p.node = a JOIN ob q ON q.node = b WHERE p.mask = 1 AND q.mask = 2")
+def valency_patterns(s, d):
+    e = _knn_edges(s, d)
+    return clusters.patterns(e, clusters.orbitals(e, tables.embedding_points(s, d), _WAYS), 1, 2)
+
+
+@query()
+def cluster_connect(s, d):
+    return clusters.connect(probes.knn(tables.embedding_points(s, d), 1), tables.embedding_points(s, d))
+
+
+@query(f"""WITH {_KE}, g AS (SELECT src, dst, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM ke JOIN pts p ON p.id = src JOIN pts q ON q.id = dst)
+SELECT src, dst FROM g WHERE NOT (ax * bx < 0 AND (ay + (b_y - ay) * (0 - ax) / nullif(bx - ax, 0)) BETWEEN -5 AND 5)""")
+def cluster_cut(s, d):
+    wall = s.createDataFrame([(0.0, -5.0, 0.0, 5.0)], "x double, y double, to_x double, to_y double")
+    return clusters.cut(_knn_edges(s, d), tables.embedding_points(s, d), wall, 0.5).select("src", "dst")
+
+
+@query(f"""WITH {_KE}, k AS (SELECT id, min(id) OVER (PARTITION BY floor(x / 0.3 + 0.5), floor(y / 0.3 + 0.5), floor(z / 0.3 + 0.5)) AS n FROM pts)
+SELECT DISTINCT least(a.n, b.n) AS src, greatest(a.n, b.n) AS dst FROM ke JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.n <> b.n""")
+def cluster_fuse(s, d):
+    return clusters.fuse(_knn_edges(s, d), tables.embedding_points(s, d), 0.3)[0]
+
+
+@query()
+def cluster_simplify(s, d):
+    return clusters.simplify(_knn_edges(s, d))
+
+
+@query(f"WITH {PTS} SELECT a.id AS target, arg_min(b.dataset_id, ({D2()}, b.id)) AS cluster FROM pts a JOIN pts b ON a.id % 10 = 0 AND b.id % 10 <> 0 GROUP BY a.id")
+def cluster_pick_closest(s, d):
+    p = tables.embedding_points(s, d)
+    return clusters.pick_closest(p.where("id % 10 <> 0"), p.where("id % 10 = 0"), "dataset_id")
+
+
+@query("WITH m AS (SELECT 0 AS c, s_suppkey AS k FROM supplier UNION ALL SELECT 1, c_custkey FROM customer) SELECT c::BIGINT AS cluster, k, row_number() OVER (ORDER BY c, k) - 1 AS new_id FROM m")
+def cluster_merge_vtx(s, d):
+    a, b = T(s, d, "supplier").select(F.col("s_suppkey").alias("k")), T(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    return clusters.merge_vertices([a, b], "k").select(F.col("cluster").cast("long").alias("cluster"), "k", "new_id")
+
+
+@query()
+def refine_overlap(s, d):
+    return clusters.overlap_removal(_knn_edges(s, d), tables.embedding_points(s, d), 0.3).select("src", "dst")
+
+
+_H = f"{_KE}, h AS (SELECT src, dst, length / (SELECT max(length) FROM ep) AS a, (dx / length + 1) / 2 AS b FROM ep WHERE length > 0)"
+for _m, _sql in {"weighted": "(a * 2 + b) / 3", "sum": "a * 2 + b", "min": "least(a * 2, b)", "max": "greatest(a * 2, b)", "geometric": "exp((ln(greatest(a * 2, 1e-12)) + ln(greatest(b, 1e-12))) / 2)", "harmonic": "2 / (1 / greatest(a * 2, 1e-12) + 1 / greatest(b, 1e-12))"}.items():
+    query(f"WITH {_H} SELECT src, dst, round({_sql}, 6) AS score FROM h", f"heuristics_{_m}")(
+        lambda s, d, m=_m: clusters.normalized(graph.edge_properties(_knn_edges(s, d), tables.embedding_points(s, d)), "length", "a")
+        .where("length > 0")
+        .select("src", "dst", F.round(clusters.heuristic([(F.col("a"), 2.0), ((F.col("dir_x") + 1) / 2, 1.0)], m), 6).alias("score"))
+    )
