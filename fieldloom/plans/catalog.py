@@ -11,7 +11,7 @@ from ..functions import blend as B
 from ..functions import compare as C
 from ..functions import maths as M
 from ..functions import noise
-from ..operators import clusters, fields, filters, geometry, graph, matching, meta, packing, paths, probes, search, spatial
+from ..operators import along, clusters, fields, filters, geometry, graph, matching, meta, packing, paths, probes, search, spatial
 from ..sources import shapes, tables
 
 _QUERIES: dict = {}
@@ -1263,3 +1263,86 @@ for _m, _sql in {"weighted": "(a * 2 + b) / 3", "sum": "a * 2 + b", "min": "leas
         .where("length > 0")
         .select("src", "dst", F.round(clusters.heuristic([(F.col("a"), 2.0), ((F.col("dir_x") + 1) / 2, 1.0)], m), 6).alias("score"))
     )
+
+
+# --- Along paths -----------------------------------------------------------------------------------------------------
+
+#: Paths of embeddings, a label each, in the order of ids; points are those of other labels' first ten.
+_EPA = f"{PTS}, sg AS (SELECT dataset_id AS path_id, idx, x, y, z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w AS tz, lead(idx) OVER w AS ti FROM pts WINDOW w AS (PARTITION BY dataset_id ORDER BY idx))"
+_PRJ = f"""{_EPA}, dn AS (SELECT *, coalesce(sqrt(pow(tx - x, 2) + pow(ty - y, 2) + pow(tz - z, 2)), 0) AS dn FROM sg), al AS (SELECT *, coalesce(sum(dn) OVER (PARTITION BY path_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ds, sum(dn) OVER (PARTITION BY path_id) AS al FROM dn),
+pr AS (SELECT p.id, s.*, least(greatest(((p.x - s.x) * (tx - s.x) + (p.y - s.y) * (ty - s.y) + (p.z - s.z) * (tz - s.z)) / nullif(dn * dn, 0), 0), 1) AS t, p.x AS px, p.y AS py, p.z AS pz FROM pts p JOIN al s ON tx IS NOT NULL AND p.dataset_id <> '0' AND s.path_id = '0'),
+ds AS (SELECT *, sqrt(pow(x + (tx - x) * t - px, 2) + pow(y + (ty - y) * t - py, 2) + pow(z + (tz - z) * t - pz, 2)) AS d FROM pr), ns AS (SELECT id, arg_min(idx, (d, idx)) AS idx, arg_min(t, (d, idx)) AS t, min(d) AS d, arg_min((ds + t * dn) / al, (d, idx)) AS tm, any_value(px) AS px FROM ds WHERE d <= 0.2 GROUP BY id)"""
+
+
+def _other_path(s, d):
+    p = tables.embedding_points(s, d)
+    return p.where("dataset_id <> '0'"), p.where("dataset_id = '0'").withColumnRenamed("dataset_id", "path_id").drop("id")
+
+
+@query(f"WITH {_PRJ} SELECT id, idx, round(t, 5) AS t, round(d, 6) AS distance FROM ns")
+def sample_nearest_path(s, d):
+    return along.nearest_segment(*_other_path(s, d), 0.2).select("id", "idx", F.round("t", 5).alias("t"), *r6("distance"))
+
+
+@query(f"WITH {_PRJ} SELECT id FROM ns WHERE tm > 0.5")
+def filter_time(s, d):
+    return along.time_filter(*_other_path(s, d), 0.2, ">", 0.5).select("id")
+
+
+@query(f"WITH {_PRJ} SELECT round(idx + t, 5) AS place, round(px, 6) AS x FROM ns UNION ALL SELECT idx, round(x, 6) FROM pts WHERE dataset_id = '0'")
+def path_insert(s, d):
+    p, q = _other_path(s, d)
+    return along.insert(q, p, 0.2).select(F.round("place", 5).alias("place"), *r6("x"))
+
+
+@query(f"""WITH {EVT}, n AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b_y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM evt {_WP}), f AS (SELECT *, sqrt(pow(bx - x, 2) + pow(b_y - y, 2)) AS fb, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS fn FROM n)
+SELECT event_id, part::BIGINT AS part, round(CASE WHEN bx IS NULL OR nx IS NULL THEN x WHEN part = 0 THEN x + (bx - x) * coalesce(least(600 / nullif(fb, 0), 0.5), 0) ELSE x + (nx - x) * coalesce(least(600 / nullif(fn, 0), 0.5), 0) END, 3) AS x
+FROM f, LATERAL (SELECT unnest(CASE WHEN bx IS NULL OR nx IS NULL THEN [0] ELSE [0, 1] END) AS part)""")
+def path_bevel(s, d):
+    return along.bevel(tables.event_paths(s, d), 600.0).select("event_id", "part", F.round("x", 3).alias("x"))
+
+
+@query()
+def path_stitch(s, d):
+    p = tables.embedding_points(s, d).withColumn("path_id", F.floor(F.col("id") / 4)).withColumn("idx", F.col("id") % 4)
+    return along.stitch(p.select("path_id", "idx", "x", "y", "z"), 0.4)
+
+
+@query(f"""WITH {_EPA}, t AS (SELECT *, (coalesce(tx, x) - coalesce(lag(x) OVER w, x)) / 2 AS g FROM sg WINDOW w AS (PARTITION BY path_id ORDER BY idx)), u AS (SELECT *, lead(g) OVER (PARTITION BY path_id ORDER BY idx) AS h FROM t),
+k AS (SELECT path_id, idx, i AS step, i / 3 AS s, x, tx, g, h FROM u, range(3) r(i) WHERE tx IS NOT NULL) SELECT path_id, idx, step::BIGINT AS step, round(x * (2*s*s*s - 3*s*s + 1) + g * (s*s*s - 2*s*s + s) + tx * (3*s*s - 2*s*s*s) + h * (s*s*s - s*s), 6) + 0.0 AS x FROM k""")
+def create_spline(s, d):
+    x = along.spline(tables.embedding_points(s, d).withColumnRenamed("dataset_id", "path_id"), 3)
+    return x.select("path_id", "idx", "step", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"""WITH {_EPA}, c AS (SELECT path_id, idx, greatest(0, """ + ", ".join(f"least((-0.4 - {a}) / nullif(t{a} - {a}, 0), (0.4 - {a}) / nullif(t{a} - {a}, 0))" for a in "xyz") + ") AS e, least(1, " + ", ".join(f"greatest((-0.4 - {a}) / nullif(t{a} - {a}, 0), (0.4 - {a}) / nullif(t{a} - {a}, 0))" for a in "xyz") + ") AS l FROM sg WHERE tx IS NOT NULL) SELECT path_id, idx, round(e, 6) AS enter, round(l, 6) AS leave FROM c WHERE e <= l")
+def path_bounds_intersection(s, d):
+    return along.box_crossings(tables.embedding_points(s, d).withColumnRenamed("dataset_id", "path_id"), (-0.4,) * 3, (0.4,) * 3).select("path_id", "idx", *r6("enter", "leave"))
+
+
+@query(f"WITH {_BOX} SELECT id, round(least(1 / (hx - lx), 2 / (hy - ly), 3 / (hz - lz)), 6) AS scale_x FROM box")
+def staging_fitting(s, d):
+    return along.fit(_boxes(s, d), (1.0, 2.0, 3.0)).select("id", *r6("scale_x"))
+
+
+@query(f"WITH {PTS} SELECT id, round(z, 6) AS z FROM pts")
+def flat_projection(s, d):
+    return along.restore(along.flatten(tables.embedding_points(s, d))).select("id", *r6("z"))
+
+
+@query(f"WITH {_KB} SELECT node, count(*) FILTER (p.x > 0) AS passing, round(count(*) FILTER (p.x > 0) / count(*), 6) AS share FROM kb JOIN pts p ON p.id = other GROUP BY node")
+def sampler_test_neighbors(s, d):
+    v = tables.embedding_points(s, d).select(F.col("id").alias("node"), F.col("x").alias("value"))
+    return along.test_neighbours(_knn_edges(s, d), v, F.col("value") > 0).select("node", "passing", *r6("share"))
+
+
+@query(f"WITH {PTS}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.16) SELECT id FROM n GROUP BY id HAVING sum(dx * w) > 0.2")
+def filter_tensor_dot(s, d):
+    a, b = _effectors(s, d)
+    return fields.sample(a, b, 0.4).where(fields.dot((1.0, 0.0, 0.0)) > 0.2).select("id")
+
+
+@query(f"WITH {_KE} SELECT src + r_regionkey * 1000000 AS src, dst + r_regionkey * 1000000 AS dst FROM ke, region")
+def cluster_copy_to_points(s, d):
+    k = T(s, d, "region").select((F.col("r_regionkey").cast("long") * 1_000_000).alias("k"))
+    return _knn_edges(s, d).crossJoin(F.broadcast(k)).select((F.col("src") + F.col("k")).alias("src"), (F.col("dst") + F.col("k")).alias("dst"))  # one copy for each target is what this node makes
