@@ -62,6 +62,12 @@ def test_near_components_match_brute_force(texts):
         assert [got[i] for i in range(len(values))] == brute(values, k, num, den)
 
 
+def test_long_near_copies_share_several_prefix_shingles(texts):
+    values = near_copies(3, 3, 14, 450, 0.03) + near_copies(5, 10, 1, 450, 0)
+    got = components(ngram_join.near_components(texts(values), 3, 90, 100))
+    assert [got[i] for i in range(len(values))] == brute(values, 3, 90, 100)
+
+
 def test_large_group_of_near_copies(texts):
     values = near_copies(1, 1, 420, 60, 0.04)
     got = components(ngram_join.near_components(texts(values), 3, 90, 100))
