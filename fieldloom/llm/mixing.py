@@ -9,6 +9,8 @@ from .common import materialize, word_count
 
 #: Words in a block, and in a shard of a source, about.
 BLOCK, SHARD = 256, 1_000_000
+#: So many sources are broadcast; more are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -87,6 +89,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     goal = goal.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard)))
     goal = materialize(goal.withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
     base = base.withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    if goal.count() <= FEW_SOURCES:
+        goal = F.broadcast(goal)  # else a shuffled join, whose hot keys adaptive execution splits
     rows = base.drop("source").join(goal, "tag").withColumn("shard", F.pmod(_number(F.col("hash"), 1, 8), F.col("shards")))
     parts = rows.groupBy("tag", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
     parts = parts.withColumn("tie", F.col("shard"))
