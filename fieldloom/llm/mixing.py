@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import WORD, materialize, word_count
 
 #: Words in a block, and in a shard of a source, about.
 BLOCK, SHARD = 256, 1_000_000
@@ -132,17 +132,20 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     on = F.col(f"x.{id_col}").eqNullSafe(F.col("p.doc_id")) & F.col(f"x.{source_col}").eqNullSafe(F.col("p.source")) & (F.col("x.__size") == F.col("p.size"))
     own = [F.col(f"x.{c}").alias(c) for c in docs.columns]
     mixed = x.join(chosen.alias("p"), on).select(*own, *[F.col(f"p.{c}").alias(f"__{c}") for c in ("start", "block", "blocks", "passes", "extra", "turn", "taken", "size")])
-    whole = mixed.where("__passes > 0 and __size > 0").withColumn("__again", F.explode(F.expr("sequence(1L, __passes)"))).select(*docs.columns)
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    pick = F.filter(
-        F.col("__words"),
-        lambda w, i: F.floor(((F.floor((F.col("__start") + i) / F.col("__block")) + 1) * F.col("__extra") + F.col("__turn")) / F.col("__blocks"))
-        > F.floor((F.floor((F.col("__start") + i) / F.col("__block")) * F.col("__extra") + F.col("__turn")) / F.col("__blocks")),
-    )
-    part = mixed.where("__taken > __passes * __size").withColumn("__words", words).withColumn(text_col, F.array_join(pick, " "))
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
+    block_of = lambda i: F.floor((F.col("__start") + i) / F.col("__block"))
+    before = lambda b: F.floor((b * F.col("__extra") + F.col("__turn")) / F.col("__blocks"))
+    part = F.array_join(F.filter(words, lambda w, i: before(block_of(i) + 1) > before(block_of(i))), " ")
+    none = F.array().cast("array<struct<text:string,part:boolean>>")
+    copy = lambda text, is_part: F.struct(text.alias("text"), F.lit(is_part).alias("part"))
+    whole = F.when(F.col("__size") > 0, F.array_repeat(copy(F.col(text_col), False), F.col("__passes").cast("int"))).otherwise(none)
+    rest = F.when(F.col("__taken") > F.col("__passes") * F.col("__size"), F.array(copy(part, True))).otherwise(none)
+    # One join and one explode: a text is shuffled once, whether it is taken whole, in part, or both.
+    out = mixed.where("__taken > 0").withColumn("__new", F.explode(F.concat(whole, rest)))
+    new = {text_col: F.col("__new.text")}
     if count_col in docs.columns:
-        part = part.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+        new[count_col] = F.when(F.col("__new.part"), F.length("__new.text").cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
+    return out.withColumns(new).select(*docs.columns)
 
 
 QUERY_SQL = """
