@@ -278,7 +278,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_text the remaining bytes as `kept` (binary: a span may end within a character).
 
     Texts are UTF-8 bytes, null is empty; matches never cross texts. Texts that several rows have repeat as a whole, if
-    they have `length` bytes; shorter ones have nothing to remove. An empty table has no rows.
+    they have `length` bytes; shorter ones have nothing to remove. An empty table has no rows. A text of 128 MB or more is
+    an error, as places in a text have 27 bits.
     """
     import hashlib
 
