@@ -4,13 +4,18 @@ Words are lower-cased (A-Z) runs of other than ASCII white space; a document is
 
 1. A sketch of fixed size counts all shingles. It orders them: the level of the count first, then a hash, so shingles
    that nearly all documents lack come first. Any order that all documents share gives the same links.
-2. Documents with the same words are one class. Of each class, the first n - ceil(t n) + 1 shingles in that order are its
-   prefix; two sets that link share a prefix shingle. Shingles of one class alone drop out.
+2. Documents with the same words are one class. Of each class, the first n - ceil(t n) + l shingles in that order are its
+   prefix, with l = 1 + n / 100; two sets that link share at least the smaller l of their prefixes' shingles. Shingles of
+   one class alone drop out.
 3. In each bucket of a shared shingle, classes meet the bucket's first class only (length and positional filters). Pairs
-   are made distinct and verified; their components are found.
-4. Of the buckets that still hold several components, all pairs between different components that pass the filters are
-   verified too. Pairs within a component would change nothing, so they are never made: a large group of near copies
-   costs its size, not its square, and no link between documents that are not yet together is lost.
+   that meet often enough are verified, each once; their components are found.
+4. In the buckets that still hold several components, each class meets the class of another component that looks nearest,
+   and components are merged. Then all pairs between different components that pass the filters are verified.
+
+Pairs within a component would change nothing, so they are never made: a large group of near copies costs rows by its
+size, not its square, and no link between documents that are not yet together is lost. The suffix filter works on a
+sketch of each set, the parities of its shingles in 256 classes: two sets differ in at least as many shingles as their
+parities.
 """
 
 from __future__ import annotations
@@ -19,15 +24,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, slices, text_buffer, word_bounds, word_hashes
+from .common import discard, materialize, mix, shingle_hashes, slices, store, text_buffer, word_bounds, word_hashes
 from .components import connected_components
 
 #: Slots of the sketch (fixed), and of a part of it.
 SLOTS, PART = 1 << 22, 1 << 16
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: 64-bit words of a set's parity sketch.
+WORDS = 4
+#: Bits of the filter of wanted ids: its size is fixed.
+FILTER = 1 << 24
 #: Members that are held against a hub in one group.
 BLOCK = 256
 LOW = -(2**63)
+SKETCH = [f"parity{w}" for w in range(WORDS)]
 
 
 def hashes_of(column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,12 +121,30 @@ def needed(nx, ny, num: int, den: int):
     return -(-num * (nx + ny) // (num + den))
 
 
+def shared_least(n):
+    """How many prefix shingles a set asks a partner to share; of two sets, the smaller number counts."""
+    return 1 + n // 100
+
+
 def prefix_length(n, num: int, den: int):
-    return np.where(n > 0, n - -(-num * n // den) + 1, 0)
+    return np.where(n > 0, np.minimum(n - -(-num * n // den) + shared_least(n), n), 0)
+
+
+def parities(token: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """(rows, WORDS) parity sketches of the rows' sets."""
+    out = np.zeros((len(number), WORDS), np.uint64)
+    if len(token):
+        h = mix(token & np.uint64((1 << 58) - 1))
+        word, bit = (h >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (h & np.uint64(63))
+        full = np.flatnonzero(number > 0)
+        start = (np.cumsum(number) - number)[full]
+        for w in range(WORDS):
+            out[full, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), start)
+    return out
 
 
 def classes_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, c1, c2, n): class and set size of every row of docs (doc_id, text)."""
+    """(doc_id, c1, c2, n, sketch): class, set size and parity sketch of every row of docs (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -125,10 +153,12 @@ def classes_table(docs: DataFrame, k: int) -> DataFrame:
             for i, j in slices(b.column("text"), SLICE):
                 h, number, words, counts = hashes_of(b.column("text").slice(i, j - i), k)
                 c1, c2 = class_ids(words, counts)
-                _, n = token_sets(h, number, None)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(c1), pa.array(c2), pa.array(n)], ["doc_id", "c1", "c2", "n"])
+                token, n = token_sets(h, number, None)
+                sketch = parities(token, n).view(np.int64)
+                cols = [pa.array(c1), pa.array(c2), pa.array(n), *[pa.array(np.ascontiguousarray(sketch[:, w])) for w in range(WORDS)]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *cols], ["doc_id", "c1", "c2", "n", *SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, n long")
+    return docs.mapInArrow(run, "doc_id long, c1 long, c2 long, n long, " + ", ".join(f"{w} long" for w in SKETCH))
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, level) -> DataFrame:
@@ -204,47 +234,143 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "token long, c1 long, c2 long, n int, pos int, p1 long, p2 long, pn int, ppos int")
 
 
-def crossing_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of rows (token, comp, rep, n, pos) that share a token, lie in different components and pass the
-    length and positional filters.
+def crossing_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (u, v) of rows (token, comp, rep, n, pos and the sketch) that share tokens enough, lie in different
+    components and pass the length, positional and suffix filters; or for each row, its nearest such partner only, met
+    twice.
 
-    Within a bucket, rows are sorted by size; each block of rows meets the rows after it whose sizes are near enough.
+    A shared token tells that at most the tokens before it in both sets, itself and those after it are common. Buckets pass by sorted by token and size; the last of a batch waits for the next. Many small buckets are worked on
+    at once, a large one in blocks; what is given out is distinct within some MB already.
     """
 
-    def pairs(n, pos, comp, rep):
+    def kept(x, i, j):
+        ok = x["comp"][i] != x["comp"][j]
+        i, j = i[ok], j[ok]
+        n, m = x["n"][i], x["n"][j]
+        need = needed(n, m, num, den)
+        p, q = x["pos"][i], x["pos"][j]
+        ok = (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= need)
+        i, j, most = i[ok], j[ok], (n + m - 2 * need)[ok]
+        apart = sum(np.bitwise_count(x[w][i] ^ x[w][j]).astype(np.int64) for w in SKETCH) if len(i) else np.zeros(0, np.int64)
+        ok = apart <= most
+        return i[ok], j[ok], apart[ok]
+
+    def counted(x, i, j):
+        """u, v, how many shared shingles they need, and how many these are."""
+        u, v = x["rep"][i], x["rep"][j]
+        need = shared_least(np.minimum(x["n"][i], x["n"][j]))
+        pair, times = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), np.minimum(need, 2) if nearest else need]), axis=1, return_counts=True)
+        return np.vstack([pair, times])
+
+    def within(x, start, size):
+        """Index pairs of buckets that begin at start, some 100,000 at once."""
+        small = np.flatnonzero((size > 1) & (size <= 256))
+        todo = size[small] * (size[small] - 1) // 2
+        share = np.cumsum(todo) // (1 << 18)
+        for g in np.split(small, np.flatnonzero(np.diff(share)) + 1) if len(small) else []:
+            own = np.repeat(start[g], size[g]) + np.arange(size[g].sum()) - np.repeat(np.cumsum(size[g]) - size[g], size[g])
+            after = np.repeat(start[g] + size[g], size[g]) - own - 1
+            i = np.repeat(own, after)
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        for g in np.flatnonzero(size > 256):
+            a, z = start[g], start[g] + size[g]
+            reach = a + np.searchsorted(x["n"][a:z], x["n"][a:z] * den // num, "right")  # sizes rise within a bucket
+            for p in range(a, z, 256):
+                q = min(p + 256, z)
+                for c in range(p, int(reach[p - a : q - a].max()), 1024):
+                    e = min(c + 1024, int(reach[p - a : q - a].max()))
+                    i, j = np.nonzero(x["comp"][p:q, None] != x["comp"][None, c:e])
+                    i, j = i + p, j + c
+                    yield i[i < j], j[i < j]
+
+    def solve(table):
+        names = ["token", "comp", "rep", "n", "pos", *SKETCH]
+        x = {c: table.column(c).to_numpy() for c in names}
+        x |= {c: x[c].astype(np.int64) for c in ("n", "pos")} | {w: x[w].view(np.uint64) for w in SKETCH}
+        start = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
+        size = np.diff(np.r_[start, len(x["token"])])
+        best, partner = np.full(len(x["token"]), 1 << 30), np.full(len(x["token"]), -1)
         found = []
-        reach = np.searchsorted(n, n * den // num, "right")  # sizes are rising
-        for a in range(0, len(n), 512):
-            z = min(a + 512, len(n))
-            for c in range(a, int(reach[a:z].max()), 4096):
-                d = min(c + 4096, int(reach[a:z].max()))
-                x, y = slice(a, z), slice(c, d)
-                ok = comp[x, None] != comp[None, y]
-                if not ok.any():
-                    continue
-                i, j = np.nonzero(ok)
-                i, j = i + a, j + c
-                ok = (i < j) & (n[i] * den >= n[j] * num)
-                i, j = i[ok], j[ok]
-                ok = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= needed(n[i], n[j], num, den)
-                i, j = rep[i[ok]], rep[j[ok]]
-                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-                if sum(f.shape[1] for f in found) > 1 << 20:
-                    yield np.unique(np.concatenate(found, 1), axis=1)
+        for i, j in within(x, start, size):
+            i, j, apart = kept(x, i, j)
+            if not len(i):
+                continue
+            if nearest:
+                for p, q in ((i, j), (j, i)):
+                    order = np.lexsort((q, apart, p))
+                    first = order[np.r_[True, p[order][1:] != p[order][:-1]]]
+                    better = first[apart[first] < best[p[first]]]
+                    best[p[better]], partner[p[better]] = apart[better], q[better]
+            else:
+                found.append(counted(x, i, j))
+                if sum(f.shape[1] for f in found) > 1 << 18:
+                    yield np.concatenate(found, 1)
                     found = []
+        if nearest:
+            i = np.flatnonzero(partner >= 0)
+            found = [counted(x, i, partner[i])]
         if found:
-            yield np.unique(np.concatenate(found, 1), axis=1)
+            yield np.concatenate(found, 1)
 
-    def run(bucket):
+    def run(batches):
         import pyarrow as pa
 
-        bucket = bucket.sort_by("n")
-        n, pos, comp, rep = (bucket.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "comp", "rep"))
-        found = [np.zeros((2, 0), np.int64), *pairs(n, pos, comp, rep)]
-        u, v = np.concatenate(found, 1)
-        return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
+        def give(table):
+            for block in solve(table.combine_chunks()):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in block], ["u", "v", "need", "times"])
+
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size > 1 << 16:
+                table = pa.Table.from_batches(held)
+                token = table.column("token").to_numpy()
+                other = np.flatnonzero(token != token[-1])
+                if len(other):
+                    yield from give(table.slice(0, int(other[-1]) + 1))
+                    held = table.slice(int(other[-1]) + 1).to_batches()
+                    size = sum(x.num_rows for x in held)
+        if held:
+            yield from give(pa.Table.from_batches(held))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("token", "comp", "rep", "n", "pos", *SKETCH).repartition(parts, "token").sortWithinPartitions("token", "n", "rep")
+    met = ordered.mapInArrow(run, "u long, v long, need long, times long").groupBy("u", "v").agg(F.max("need").alias("need"), F.sum("times").alias("times"))
+    return met.where("times >= need").select("u", "v")
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (u, v): the components' own links are found and joined back."""
+    a, b = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
+    x = links.join(a, "u", "left").join(b, "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
+    x = materialize(x)
+    found = connected_components(x.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    nodes = comps.union(x.select("u", "cu")).union(x.select("v", "cv")).distinct()
+    up = found.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return materialize(nodes.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id isn't wanted: a filter of FILTER bits, which lets a few others through."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = wanted.select(place.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS INT))")).alias("bits"))
+    table = np.zeros(FILTER // 64, np.int64)
+    for r in words.toLocalIterator():  # FILTER / 64 rows at most
+        table[r["w"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            p = b.column("place").to_numpy(zero_copy_only=False)
+            ok = (shared.value[p // 64] >> (p % 64)) & 1 == 1
+            yield b.filter(pa.array(ok)).select(["doc_id", "text"])
 
-    return rows.groupBy("token").applyInArrow(run, "u long, v long").distinct()
+    return docs.withColumn("place", place).mapInArrow(run, "doc_id long, text string")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -258,7 +384,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     dealt = pairs.join(blocks, "u").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     wanted = dealt.select(F.col("v").alias("doc_id"), "u", "block", F.lit(True).alias("member"))
     wanted = wanted.union(dealt.select(F.col("u").alias("doc_id"), "u", "block", F.lit(False)).distinct())
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = maybe_wanted(docs, wanted.select("doc_id").distinct())
     rows = wanted.join(texts, "doc_id").select("u", "block", "member", "doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "u", "block").sortWithinPartitions("u", "block", "member", "doc_id")
@@ -311,24 +437,28 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     x = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     known = materialize(classes_table(x, k))
-    reps = known.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    reps = known.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.min(w).alias(w) for w in SKETCH])
     level = spark.sparkContext.broadcast(count_levels(x, k))  # SLOTS bytes
-    shared = materialize(shared_buckets(prefixes(x, k, num, den, level)))
-    # First pairs: every class of a bucket with the bucket's first, whose set is the smallest.
+    shared, path = store(shared_buckets(prefixes(x, k, num, den, level)))
+    # First pairs: every class of a bucket with the bucket's first, whose set is the smallest; filtered as below.
     a, b = F.col("pn").cast("long"), F.col("n").cast("long")
-    near = (a * den >= b * num) & (1 + F.least(a - F.col("ppos") - 1, b - F.col("pos") - 1) >= F.ceil(F.lit(num) * (a + b) / F.lit(num + den)))
-    stars = shared.where((F.col("c1") != F.col("p1")) | (F.col("c2") != F.col("p2"))).where(near).select("c1", "c2", "p1", "p2").distinct()
-    one = reps.select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("rep").alias("u"))
-    stars = stars.join(reps, ["c1", "c2"]).join(one, ["p1", "p2"]).select("u", F.col("rep").alias("v")).where("u <> v").distinct()
-    links = materialize(verified(stars, x, k, num, den).select("u", "v"))
-    first = connected_components(links)
+    need = F.ceil(F.lit(num) * (a + b) / F.lit(num + den))
+    room = F.least("ppos", "pos") + 1 + F.least(a - F.col("ppos") - 1, b - F.col("pos") - 1)
+    stars = shared.where((F.col("c1") != F.col("p1")) | (F.col("c2") != F.col("p2"))).where((a * den >= b * num) & (room >= need))
+    stars = stars.groupBy("c1", "c2", "p1", "p2", "n", "pn").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= F.floor(a / 100) + 1)
+    one = reps.select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("rep").alias("u"), *[F.col(w).alias(f"u{w}") for w in SKETCH])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"u{w}"))) for w in SKETCH), F.lit(0))
+    stars = stars.join(reps, ["c1", "c2"]).join(one, ["p1", "p2"]).where(apart <= a + b - 2 * need)
+    stars = stars.select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+    links = verified(materialize(stars), x, k, num, den).select("u", "v")
+    comps = merged(known.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0), links)
     rows = shared.select("token", "c1", "c2", "n", "pos").join(reps, ["c1", "c2"])
-    rows = rows.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    crossing = crossing_pairs(rows.join(mixed, "token", "left_semi").select("token", "comp", "rep", "n", "pos"), num, den)
-    more = materialize(verified(materialize(crossing), x, k, num, den).select("u", "v"))
-    comps = connected_components(links.union(more)) if more.limit(1).count() else first
-    full = known.join(reps, ["c1", "c2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    for nearest in (True, False):
+        own = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        pairs = materialize(crossing_pairs(own, num, den, nearest))
+        comps = merged(comps, verified(pairs, x, k, num, den).select("u", "v"))
+    discard(spark, path)
+    full = known.join(reps.select("c1", "c2", "rep"), ["c1", "c2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     full = full.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     back = lambda c: F.when(c != LOW, c)
     return full.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "rep")).alias("component_id"))
