@@ -8,10 +8,11 @@ samples the embedding at the same steps for all texts of like length, so likenes
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_buffer
+from .common import materialize, mix, slices, text_buffer
+from .components import connected_components
 
 SAMPLES = 128
 HEX = np.frombuffer(b"0123456789abcdef-", np.uint8)
@@ -159,22 +160,60 @@ def likeness_column(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(F.abs(s.cast("int") - t.cast("int")) > 1, F.lit(0.0)).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
-def near_links(prints: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8) -> DataFrame:
-    """Links (doc_id, with_id, likeness) between documents whose fingerprints agree in a band and are `least` alike.
+def near_links(prints: DataFrame, bands: int = 16, width: int = 8, least: float = 0.8, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (doc_id, with_id, likeness) between documents that agree in a band and are `least` alike: as many as join
+    all that any such pairs would join, not all pairs.
 
-    A band is `width` sampled symbols of one scale. Each document of a band's bucket is held against the bucket's
-    smallest id, not against all others, so a bucket of any size gives one candidate for each member. Both scales of a
-    fingerprint are banded, so lengths on either side of a power of two meet. Empty texts link with nothing.
+    A band is `width` sampled symbols of one scale. Both scales of a fingerprint are banded, so lengths on either side
+    of a power of two meet. Empty texts link with nothing. Likeness is that of the fingerprints or, with docs, of the
+    texts: 1 - edit distance / longer length, for every candidate.
+
+    The members of each band's bucket are ranked by a hash of their ids. Rounds hold the next 1, 2, 4 ... of them against
+    all after them, but for pairs that links already join, until no bucket has such a pair left. A group of near copies
+    is joined once one of it comes up; unlike documents that share a band are compared each with each.
     """
     scale = F.substring("fingerprint", 1, 2).cast("int")
     parts = [(scale - w, F.substring("fingerprint", 3 + w * SAMPLES + i * width, width), F.lit(i)) for w in (0, 1) for i in range(bands)]
     key = F.explode(F.array(*[F.struct(s.alias("scale"), p.alias("part"), i.alias("band")) for s, p, i in parts]))
-    x = prints.where("n_chars > 0").select("doc_id", key.alias("key")).where(~F.contains("key.part", F.lit("-" * width)))
-    least_id = x.groupBy("key").agg(F.min("doc_id").alias("with_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = x.join(least_id, "key").where("doc_id <> with_id").select("doc_id", "with_id").distinct()
-    a = prints.select("doc_id", F.col("fingerprint").alias("a"))
-    b = prints.select(F.col("doc_id").alias("with_id"), F.col("fingerprint").alias("b"))
-    return pairs.join(a, "doc_id").join(b, "with_id").withColumn("likeness", likeness_column(F.col("a"), F.col("b"))).where(F.col("likeness") >= least).drop("a", "b")
+    prints = materialize(prints.where("n_chars > 0").select("doc_id", "n_chars", "fingerprint"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+    keyed = prints.select("doc_id", key.alias("key")).where(~F.contains("key.part", F.lit("-" * width)))
+    members = materialize(keyed.withColumn("rank", F.row_number().over(order)))
+    a = prints.select("doc_id", F.col("n_chars").alias("n"), F.col("fingerprint").alias("a"))
+    b = prints.select(F.col("doc_id").alias("with_id"), F.col("n_chars").alias("m"), F.col("fingerprint").alias("b"))
+    links = tried = prints.select("doc_id", F.col("doc_id").alias("with_id"), F.lit(1.0).alias("likeness")).where(F.lit(False))
+    component, first = prints.select("doc_id", F.col("doc_id").alias("component")), 1
+    while True:
+        x = members.where(F.col("rank") >= first).join(component, "doc_id")
+        several = x.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        x = materialize(x.join(several.select("key"), "key", "left_semi"))
+        if x.isEmpty():
+            return links
+        now = x.where(F.col("rank") < 2 * first)
+        pairs = now.alias("p").join(x.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.rank") < F.col("q.rank")) & (F.col("p.component") != F.col("q.component")))
+        pairs = pairs.select(F.greatest("p.doc_id", "q.doc_id").alias("doc_id"), F.least("p.doc_id", "q.doc_id").alias("with_id")).distinct().join(tried, ["doc_id", "with_id"], "left_anti")
+        pairs = pairs.join(a, "doc_id").join(b, "with_id")
+        if docs is None:
+            found = pairs.withColumn("likeness", likeness_column(F.col("a"), F.col("b")))
+        else:
+            found = text_likeness(pairs, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), least)
+        found = materialize(found.select("doc_id", "with_id", "likeness"))
+        tried = materialize(tried.union(found))
+        links = tried.where(F.col("likeness") >= least)
+        if not found.where(F.col("likeness") >= least).isEmpty():
+            joined = connected_components(links.select(F.col("doc_id").alias("u"), F.col("with_id").alias("v"))).withColumnRenamed("node", "doc_id")
+            component = materialize(prints.select("doc_id").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        first *= 2
+
+
+def text_likeness(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (doc_id, with_id, n, m) with likeness: 1 - edit distance in code points / longer length, or 0 below `least`."""
+    longer = F.greatest("n", "m")
+    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    x = pairs.join(texts.withColumnRenamed("text", "s"), "doc_id").join(texts.select(F.col("doc_id").alias("with_id"), F.col("text").alias("t")), "with_id")
+    x = x.withColumn("most", most).withColumn("edits", F.expr("levenshtein(s, t, most)"))
+    # the division that decides is the one of whole numbers above
+    return x.withColumn("likeness", F.when(F.col("edits") < 0, F.lit(0.0)).otherwise(F.greatest(1 - F.col("edits") / longer, F.lit(float(least)))))
 
 
 def _bounds(docs: DataFrame, buckets: int) -> list[int]:

@@ -150,3 +150,65 @@ def test_near_links_find_small_edits(texts):
     values = base + [b[:1400] + "zz" + b[1405:] for b in base]
     got = {(r.doc_id, r.with_id) for r in edit_fingerprint.near_links(edit_fingerprint.fingerprints(texts(values))).collect()}
     assert got == {(i + 20, i) for i in range(20)}
+
+
+def headed(rng, unlike, groups, members, heading=120, rest=480):
+    """Texts under one heading: unlike ones first, then groups of near copies."""
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    top = text(heading)
+    values = [top + text(rest) for _ in range(unlike)]
+    for _ in range(groups):
+        base = text(rest)
+        values += [top + base[:at] + "zz" + base[at + 1 :] for at in rng.sample(range(rest - 60, rest - 2), members)]
+    return values
+
+
+def joined(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return [find(i) for i in range(n)]
+
+
+def test_near_links_when_the_smallest_id_is_another_text(texts):
+    values = headed(random.Random(6), 1, 1, 2)
+    got = {(r.doc_id, r.with_id) for r in edit_fingerprint.near_links(edit_fingerprint.fingerprints(texts(values)), bands=1).collect()}
+    assert got == {(2, 1)}
+
+
+def test_near_links_join_all_of_a_common_bucket(texts):
+    values = headed(random.Random(7), 12, 4, 5)
+    want = list(range(12)) + [12 + i // 5 * 5 for i in range(20)]
+    docs = texts(values)
+    prints = edit_fingerprint.fingerprints(docs)
+    for kw in ({}, {"docs": docs}):
+        got = [(r.doc_id, r.with_id) for r in edit_fingerprint.near_links(prints, bands=1, **kw).collect()]
+        assert joined(len(values), got) == want and len(got) == len(set(got))
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_links_are_verified_on_the_texts(texts):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abé日😀 ") for _ in range(200))
+    values = ["x" * 200, base, base[:160] + "#" * 40, base[:159] + "#" * 41, base[1:], ""]
+    docs = texts(values)
+    same = edit_fingerprint.fingerprints(docs).selectExpr("doc_id", "n_chars", "first_value(fingerprint) over (order by n_chars desc, doc_id) as fingerprint")  # one bucket
+    got = {(r.doc_id, r.with_id): r.likeness for r in edit_fingerprint.near_links(same, docs=docs).collect()}
+    near = {(i, j): 1 - plain_distance(values[i], values[j]) / max(len(values[i]), len(values[j])) for i in range(1, 5) for j in range(i)}
+    assert all(abs(v - near[k]) < 1e-9 and v >= 0.8 for k, v in got.items())
+    assert joined(5, got) == joined(5, [k for k, v in near.items() if v >= 0.8 - 1e-9])
