@@ -1,6 +1,7 @@
 """Named queries over the driver tables, with equivalent DuckDB SQL.
 
-Every query runs over its whole tables. `_QUERIES` maps a name to (function of session and folder, SQL or None).
+Every query runs over its whole tables, but for those of which there is another one by the same name with _whole: their
+SQL is the driver's oracle and keeps some rows only. `_QUERIES` maps a name to (function of session and folder, SQL or None).
 """
 
 from __future__ import annotations
@@ -536,6 +537,37 @@ def match_copy_tags(s, d):
     return matching.copy_tags(t, pairs, t).select(F.col("dataset_id").cast("long").alias("k"), F.array_join("tags", ",").alias("tags"))
 
 
+#: Over all rows: the segments of each nation's customers by steps of 500 in balance; the boxes of each brand, type
+#: and step of 5 in size.
+_STAG = "st AS (SELECT c_nationkey::BIGINT * 100 + floor(c_acctbal / 500)::BIGINT + 2 AS k, list_sort(list(DISTINCT c_mktsegment)) AS tags FROM customer GROUP BY 1)"
+_TBOX = "tb AS (SELECT p_brand || ' ' || p_type || ' ' || p_size // 5 AS k, min(p_size) AS a, max(p_size) AS z, min(p_retailprice) AS c, max(p_retailprice) AS e FROM part GROUP BY 1)"
+
+
+def _step_tags(s, d):
+    k = (F.col("c_nationkey").cast("long") * 100 + F.floor(F.col("c_acctbal") / 500) + 2).alias("dataset_id")
+    return T(s, d, "customer").groupBy(k).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("tags"))
+
+
+for _m, _cond in {"any": "list_has_any(a.tags, b.tags)", "all": "list_has_all(b.tags, a.tags)"}.items():
+    query(f"WITH {_STAG} SELECT a.k AS candidate, b.k AS target FROM st a, st b WHERE {_cond}", f"match_shared_tag_{_m}_whole")(
+        lambda s, d, m=_m: matching.match(_step_tags(s, d), _step_tags(s, d), [matching.shared_tags(m)])
+    )
+
+
+@query(f"WITH {_STAG}, p AS (SELECT a.k, a.tags, flatten(list(b.tags)) AS more FROM st a JOIN st b ON a.k // 2 = b.k // 2 GROUP BY a.k, a.tags) SELECT k, array_to_string(list_sort(list_distinct(tags || more)), ',') AS tags FROM p")
+def match_copy_tags_whole(s, d):
+    t = _step_tags(s, d)
+    pairs = matching.match(t, t, [F.floor(F.col("c.dataset_id") / 2) == F.floor(F.col("t.dataset_id") / 2)])
+    return matching.copy_tags(t, pairs, t).select(F.col("dataset_id").alias("k"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_TBOX} SELECT x.k AS candidate, y.k AS target FROM tb x JOIN tb y ON greatest(x.a, y.a) <= least(x.z, y.z) AND greatest(x.c, y.c) <= least(x.e, y.e)")
+def match_overlap_whole(s, d):
+    b = T(s, d, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type", F.floor(F.col("p_size") / 5).cast("string")).alias("dataset_id"))
+    b = b.agg(F.min("p_size").alias("min_x"), F.max("p_size").alias("max_x"), F.min("p_retailprice").alias("min_y"), F.max("p_retailprice").alias("max_y"))
+    return matching.match(b, b, [matching.overlap()])
+
+
 # --- Space -----------------------------------------------------------------------------------------------------------
 
 

@@ -232,3 +232,26 @@ def test_queries_equal_their_sql(spark, name):
     plain = lambda rows: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
     assert sorted(got.columns) == names
     assert plain(got.select(*names).collect()) == plain([[r[i] for i in place] for r in cursor.fetchall()])
+
+
+WHOLE = ("match_shared_tag_any_whole", "match_shared_tag_all_whole", "match_copy_tags_whole", "match_overlap_whole")
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_queries_equal_their_sql(spark, name):
+    test_queries_equal_their_sql(spark, name)
+
+
+def test_whole_matches_use_every_row(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r.candidate, r.target) for r in catalog.queries()["match_overlap_whole"](spark, folder).collect()}
+    boxes = {}
+    for r in spark.read.parquet(f"{folder}/part.parquet").collect():
+        boxes.setdefault(f"{r.p_brand} {r.p_type} {r.p_size // 5}", []).append((r.p_size, r.p_retailprice))
+    ends = {k: [(min(c), max(c)) for c in zip(*v)] for k, v in boxes.items()}
+    assert got == {(a, b) for a in ends for b in ends if all(p[0] <= q[1] and q[0] <= p[1] for p, q in zip(ends[a], ends[b]))}
+    tags = {}
+    for r in spark.read.parquet(f"{folder}/customer.parquet").collect():
+        tags.setdefault(r.c_nationkey * 100 + math.floor(r.c_acctbal / 500) + 2, set()).add(r.c_mktsegment)
+    got = {(r.candidate, r.target) for r in catalog.queries()["match_shared_tag_all_whole"](spark, folder).collect()}
+    assert got == {(a, b) for a in tags for b in tags if tags[a] <= tags[b]}
