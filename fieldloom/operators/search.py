@@ -45,6 +45,29 @@ def shortest_path(links: dict, start, goal, heuristic=None) -> tuple[float, list
     return math.inf, []
 
 
+def shortest_paths(links: dict, start, goals) -> dict:
+    """{goal: (cost, nodes)}: what shortest_path finds for each goal, by one search that ends when all are closed."""
+    best, back, closed, left = {start: 0.0}, {}, set(), set(goals)
+    heap, out = [(0.0, start)], {}
+    while heap and left:
+        _, n = heapq.heappop(heap)
+        if n in closed:
+            continue
+        closed.add(n)
+        if n in left:
+            left.discard(n)
+            path = [n]
+            while path[-1] in back:
+                path.append(back[path[-1]])
+            out[n] = best[n], path[::-1]
+        for m, w in links.get(n, ()):
+            cost = best[n] + w
+            if m not in closed and cost < best.get(m, math.inf):
+                best[m], back[m] = cost, n
+                heapq.heappush(heap, (cost, m))
+    return out | {g: (math.inf, []) for g in left}
+
+
 def bidirectional(links: dict, start, goal) -> tuple[float, list]:
     """Shortest path by two fronts that meet."""
     if start == goal:
@@ -77,7 +100,7 @@ def bidirectional(links: dict, start, goal) -> tuple[float, list]:
 def paths(edges: DataFrame, pairs: DataFrame, method: str = "dijkstra", places: DataFrame | None = None, weight: str = "weight", by: str = "cluster_id") -> DataFrame:
     """(by, start, goal, cost, path) of pairs (by, start, goal) in clusters of edges (by, src, dst, weight).
 
-    Methods: dijkstra, astar (with places (by, id, x, y, z): straight distance), bidirectional. Clusters and their
+    Methods: dijkstra (one search for each start), astar (with places (by, id, x, y, z): straight distance), bidirectional. Clusters and their
     pairs meet in one task each; pairs without a path have null cost and an empty path.
     """
     e = edges.select(by, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col(weight).cast("double").alias("w"))
@@ -93,6 +116,13 @@ def paths(edges: DataFrame, pairs: DataFrame, method: str = "dijkstra", places:
         links = adjacency(*(left[left.kind == 0][c] for c in ("src", "dst", "w")))
         spots = {} if not placed else {r.src: (r.x, r.y, r.z) for r in left[left.kind == 1].itertuples()}
         out = []
+        if method == "dijkstra":  # one search for all goals of a start
+            for start, some in right.groupby("start", dropna=False):
+                found = shortest_paths(links, start, some.goal)
+                for r in some.itertuples():
+                    cost, path = found.get(r.goal, (math.inf, []))
+                    out.append((getattr(r, by), r.start, r.goal, None if math.isinf(cost) else cost, path))
+            return pd.DataFrame(out, columns=[by, "start", "goal", "cost", "path"])
         for r in right.itertuples():
             if method == "bidirectional":
                 cost, path = bidirectional(links, r.start, r.goal)

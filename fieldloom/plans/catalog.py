@@ -1050,9 +1050,20 @@ def pathfinding_astar(s, d):
     return search.paths(_weighted(s, d), goals, "astar", p).where("cost is not null").select("start", "goal", *r6("cost"))
 
 
+def _from_first(s, d):
+    return tables.embedding_points(s, d).select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+
+
+for _m in ("dijkstra", "bidirectional", "astar"):
+    query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN}", f"pathfinding_{_m}_whole")(
+        lambda s, d, m=_m: search.paths(_weighted(s, d), _from_first(s, d), m, tables.embedding_points(s, d).withColumn("cluster_id", F.lit(0).cast("long")) if m == "astar" else None)
+        .where("cost is not null").select("start", "goal", *r6("cost"))
+    )
+
+
 @query()
 def pathfinding_plot_edges(s, d):
-    stops = tables.embedding_points(s, d).where("id % 100 = 0").select(F.lit(0).cast("long").alias("cluster_id"), F.col("id").alias("idx"), "id")
+    stops = tables.embedding_points(s, d).select(F.lit(0).cast("long").alias("cluster_id"), F.col("id").alias("idx"), "id")
     return search.plot(_weighted(s, d), stops).select("start", "goal", *r6("cost"), F.size("path").cast("long").alias("nodes"))
 
 

@@ -234,7 +234,7 @@ def test_queries_equal_their_sql(spark, name):
     assert plain(got.select(*names).collect()) == plain([[r[i] for i in place] for r in cursor.fetchall()])
 
 
-WHOLE = ("match_shared_tag_any_whole", "match_shared_tag_all_whole", "match_copy_tags_whole", "match_overlap_whole")
+WHOLE = ("match_shared_tag_any_whole", "match_shared_tag_all_whole", "match_copy_tags_whole", "match_overlap_whole", "pathfinding_dijkstra_whole", "pathfinding_bidirectional_whole", "pathfinding_astar_whole")
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -255,3 +255,26 @@ def test_whole_matches_use_every_row(spark):
         tags.setdefault(r.c_nationkey * 100 + math.floor(r.c_acctbal / 500) + 2, set()).add(r.c_mktsegment)
     got = {(r.candidate, r.target) for r in catalog.queries()["match_shared_tag_all_whole"](spark, folder).collect()}
     assert got == {(a, b) for a in tags for b in tags if tags[a] <= tags[b]}
+
+
+def test_one_search_finds_the_paths_of_each_goal():
+    rng = np.random.default_rng(11)
+    ends = rng.integers(0, 60, (2, 90))
+    links = search.adjacency(*ends.tolist(), rng.integers(1, 6, 90).tolist())
+    for start in (0, 7, 99):
+        goals = [*range(60), 99, 100]
+        assert search.shortest_paths(links, start, goals) == {g: search.shortest_path(links, start, g) for g in goals}
+
+
+def test_plot_edges_stop_at_every_point(spark):
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    length = np.full((n, n), np.inf)
+    np.fill_diagonal(length, 0)
+    for r in catalog._weighted(spark, folder).collect():
+        length[r.src, r.dst] = length[r.dst, r.src] = r.weight
+    for k in range(n):
+        length = np.minimum(length, length[:, k : k + 1] + length[k])
+    got = {(r.start, r.goal): r.cost for r in catalog.queries()["pathfinding_plot_edges"](spark, folder).collect()}
+    assert sorted(got) == [(i, i + 1) for i in range(n - 1)]
+    assert all(c is None and np.isinf(length[k]) or abs(c - length[k]) < 1e-5 for k, c in got.items())
