@@ -39,11 +39,11 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5, max_tokens: int = 2) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5) -> DataFrame:
     """Rules (rule_id, antecedent) for bad pages from rows (tokens, bad).
 
-    FP-growth finds the token sets of at least min_count pages and min_support of all; a rule is a set of at most
-    max_tokens tokens whose share of bad pages is min_confidence or more. As each page has few tokens, the support
+    FP-growth finds the token sets of at least min_count pages and min_support of all; a rule is a set of any
+    number of tokens whose share of bad pages is min_confidence or more. As each page has few tokens, the support
     bounds the number of rules: it doesn't grow with the pages.
     """
     from pyspark.ml.fpm import FPGrowth
@@ -56,7 +56,7 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, m
     # half a page below the count wanted, so that rounding in the product can't ask for one more
     support = max(min_support, (min_count - 0.5) / n)
     rules = FPGrowth(minSupport=support, minConfidence=min_confidence).fit(items).associationRules
-    rules = rules.where((F.element_at("consequent", 1) == "bad") & (F.size("antecedent") <= max_tokens))
+    rules = rules.where(F.element_at("consequent", 1) == "bad")
     return materialize(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -145,3 +146,25 @@ def test_rules_are_mined_and_matched(spark):
     labels = [(i, 0 if i % 2 and i % 3 else 1, 0) for i in range(200)]
     got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), min_confidence=0.9).collect()
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i in range(300) if i % 2 and i % 3}
+
+
+def test_rules_of_any_length_match_brute_force(texts, spark):
+    """Bad where all of three keys are; no pair of them, nor the rest of the URL, tells."""
+    rng = random.Random(12)
+    keys = ["abc"] * 30 + ["ab", "ac", "bc"] * 40 + ["abcde", "abd", "ace", "bcd"] * 8 + ["".join(k for k in "abcde" if rng.random() < 0.5) for _ in range(60)]
+    pages = [(i, f"http://h.org/x/{i}?" + "&".join(f"{k}=1" for k in some)) for i, some in enumerate(keys)]
+    bad = [set("abc") <= set(some) for some in keys]
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad)], "doc_id long, quality int")
+    fixed = {"scheme=http", "label=h", "label=org", "domain=h.org", "segment=x", "segment=#"}
+    held = [sorted(fixed | {f"key={k}" for k in some}) for some in keys]
+    seen, hits = Counter(), Counter()
+    for b, t in zip(bad, held):
+        for n in range(1, len(t) + 1):
+            for s in itertools.combinations(t, n):
+                seen[s] += 1
+                hits[s] += b
+    rules = [set(s) for s in seen if hits[s] >= 20 and 2 * hits[s] >= seen[s]]
+    want = {i: any(r <= set(t) for r in rules) for i, t in enumerate(held)}
+    assert min(map(len, rules)) == 3 and any(want.values()) and not all(want.values())
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labels, rules=()).collect()
+    assert {r.page_id: r.verdict == "block" for r in got} == want
