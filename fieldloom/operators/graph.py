@@ -190,25 +190,25 @@ def katz(edges: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFrame:
     return rank
 
 
-def bellman_ford(edges: DataFrame, sources: DataFrame, weight: str = "weight", rounds: int = 64) -> DataFrame:
+def bellman_ford(edges: DataFrame, sources: DataFrame, weight: str = "weight") -> DataFrame:
     """(node, cost): the least cost from any source over undirected edges of non-negative weight; unreachable nodes are
-    absent. Rounds relax only the nodes that got cheaper."""
+    absent. Rounds relax only the nodes that got cheaper, until there are none."""
     x = settle(both_ways(edges.select("src", "dst", F.col(weight).cast("double").alias("w"))))
+    if not x.where("w < 0").isEmpty():
+        raise ValueError("negative weight")
     best = settle(sources.select("node").distinct().withColumn("cost", F.lit(0.0)))
     front = best
-    for _ in range(rounds):
+    while not front.isEmpty():
         offer = front.join(x, "node").groupBy(F.col("other").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
         both = settle(best.join(offer, "node", "full").withColumn("better", F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))))
         front = both.where("better").select("node", F.col("offer").alias("cost"))
         best = both.select("node", F.when(F.col("better"), F.col("offer")).otherwise(F.col("cost")).alias("cost"))
-        if not front.limit(1).count():
-            break
     return best
 
 
-def hops(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, depth): flood fill by breadth from all sources at once."""
-    return bellman_ford(edges.withColumn("weight", F.lit(1.0)), sources, "weight", rounds).select("node", F.col("cost").cast("long").alias("depth"))
+    return bellman_ford(edges.withColumn("weight", F.lit(1.0)), sources).select("node", F.col("cost").cast("long").alias("depth"))
 
 
 def spanning_forest(edges: DataFrame, weight: str = "weight", rounds: int = 32) -> DataFrame:

@@ -278,3 +278,13 @@ def test_plot_edges_stop_at_every_point(spark):
     got = {(r.start, r.goal): r.cost for r in catalog.queries()["pathfinding_plot_edges"](spark, folder).collect()}
     assert sorted(got) == [(i, i + 1) for i in range(n - 1)]
     assert all(c is None and np.isinf(length[k]) or abs(c - length[k]) < 1e-5 for k, c in got.items())
+
+
+def test_costs_along_a_chain_of_more_than_64_edges(spark):
+    chain = spark.range(80).selectExpr("id AS src", "id + 1 AS dst", "1.5 AS weight").unionByName(spark.createDataFrame([(0, 80, 100.0)], "src long, dst long, weight double"))
+    start = spark.createDataFrame([(0,)], "node long")
+    # the dear edge pays at the far end only
+    assert {r.node: r.cost for r in graph.bellman_ford(chain, start).collect()} == {i: min(1.5 * i, 100 + 1.5 * (80 - i)) for i in range(81)}
+    assert {r.node: r.depth for r in graph.hops(chain.where("dst <> 80 or src = 79"), start).collect()} == {i: i for i in range(81)}
+    with pytest.raises(ValueError):
+        graph.bellman_ford(chain.withColumn("weight", -F.col("weight")), start)
