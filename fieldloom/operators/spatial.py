@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import cell, curve, fraction
+from .graph import settle
 from .rangejoin import nearest, within_radius
 
 XYZ = ("x", "y", "z")
@@ -159,26 +160,27 @@ def self_pruning_counts(df: DataFrame, radius: float, key: str = "id") -> DataFr
     return collocation(df, radius, key).withColumnRenamed("collocations", "overlaps").drop("is_collocated")
 
 
-def self_prune(df: DataFrame, radius: float, priority: Column, key: str = "id", limit: int = 50) -> DataFrame:
+def self_prune(df: DataFrame, radius: float, priority: Column, key: str = "id") -> DataFrame:
     """Points left when each point, in order of priority (then key), removes those in reach after it.
 
-    Rounds: a point with no living point before it in reach stays and removes its neighbours. Each round is a join over
-    the pairs in reach, whatever the number of points.
+    Rounds: a point with no living point before it in reach stays and removes its neighbours, until no point is left to
+    decide. Each round is a join over the pairs in reach, whatever the number of points.
     """
     ranked = df.withColumn("__p", priority)
     pairs = within_radius(ranked.select(key, *XYZ, "__p"), ranked.select(key, *XYZ, "__p"), radius)
     before = pairs.where((F.col("r___p") < F.col("__p")) | ((F.col("r___p") == F.col("__p")) & (F.col(f"r_{key}") < F.col(key)))).select(key, F.col(f"r_{key}").alias("other"))
-    before = before.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else before.persist()
-    alive, kept = df.select(key), None
-    for _ in range(limit):
+    before = settle(before)
+    alive = settle(df.select(key).where(F.col(key).isNotNull()))
+    kept, left = alive.where(F.lit(False)), alive.count()
+    while left:
         threat = before.join(alive.withColumnRenamed(key, "other"), "other").select(key).distinct()
-        won = alive.join(threat, key, "left_anti")
+        won = settle(alive.join(threat, key, "left_anti"))
         lost = before.join(won.withColumnRenamed(key, "other"), "other").select(key).distinct()
-        kept = won if kept is None else kept.union(won)
-        alive = alive.join(won, key, "left_anti").join(lost, key, "left_anti")
-        alive = alive.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else alive.persist()
-        if not alive.limit(1).count():
-            break
+        kept = settle(kept.union(won))
+        alive = settle(alive.join(won, key, "left_anti").join(lost, key, "left_anti"))
+        left, last = alive.count(), left
+        if left == last:
+            raise RuntimeError("the order of priority has a cycle")
     return df.join(kept.distinct(), key, "left_semi")
 
 

@@ -288,3 +288,8 @@ def test_costs_along_a_chain_of_more_than_64_edges(spark):
     assert {r.node: r.depth for r in graph.hops(chain.where("dst <> 80 or src = 79"), start).collect()} == {i: i for i in range(81)}
     with pytest.raises(ValueError):
         graph.bellman_ford(chain.withColumn("weight", -F.col("weight")), start)
+
+
+def test_self_prune_decides_every_point_of_a_long_line(spark):
+    line = spark.range(110).selectExpr("id", "cast(id AS double) AS x", "0D AS y", "0D AS z").coalesce(1)
+    assert sorted(r.id for r in spatial.self_prune(line, 1.5, F.col("id")).collect()) == list(range(0, 110, 2))
