@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark) -> str:
-    """The session's checkpoint folder: the one that spark.checkpoint.dir names; a temporary one only where it names none."""
+    """The session's checkpoint folder: the one that spark.checkpoint.dir names. Only a local session without one gets a
+    temporary folder; on a cluster its absence is an error, as executors don't share a machine's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -42,6 +47,12 @@ def discard(spark, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_shuffles(spark) -> None:
+    """Let Spark's cleaner remove the shuffle files that no live DataFrame refers to, between the rounds of an iteration."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def squeeze_spaces(text: Column) -> Column:
     """Every run of ASCII white space becomes one space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, store
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -28,17 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of every node that edges (u, v) mention; component is the least node reachable.
 
-    Each round keeps one row per link and is checkpointed; rounds end when nothing changes, after about log2 of the
+    Each round keeps one row per link and is written to the shared folder; rounds end when nothing changes, after about log2 of the
     longest chain. A hub's links are joined to its least neighbour, which is formed before the shuffle, so no task holds
     the links of a hub at once. Links of a node to itself name a component of its own; null ends are dropped.
     """
     known = edges.where("u is not null and v is not null")
-    work = materialize(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    work, path = store(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _digest(work)
     for _ in range(limit):
         if not state[0]:
             break
-        work = materialize(_star(_star(work, True), False))
+        work, new = store(_star(_star(work, True), False))
+        discard(edges.sparkSession, path)
+        path = new
         before, state = state, _digest(work)
         if state == before:
             break

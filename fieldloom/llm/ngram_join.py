@@ -11,7 +11,7 @@ Words are lower-cased (A-Z) runs of other than ASCII white space; a document is
 3. In each bucket of a shared shingle, classes meet the bucket's first class only (length and positional filters). Pairs
    that meet often enough are verified; their components are found.
 4. In the buckets that still hold several components, each class meets the class of another component that looks nearest,
-   and components are merged, over again while an eighth of a round's pairs links. Then all pairs between different
+   and components are merged, over again while half of a round's pairs links. Then all pairs between different
    components that pass the filters and haven't been verified yet are verified.
 
 Pairs within a component would change nothing, so they are never made: a large group of near copies costs rows by its
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, shingle_hashes, slices, store, text_buffer, word_bounds, word_hashes
+from .common import discard, free_shuffles, materialize, mix, shingle_hashes, slices, store, text_buffer, word_bounds, word_hashes
 from .components import connected_components
 
 #: Slots of the sketch (fixed), and of a part of it.
@@ -379,7 +379,7 @@ def merged(comps: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     crossing = x.where("cu <> cv").count()
     if not crossing:
         return comps, 0
-    found = connected_components(x.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    found = connected_components(x.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     nodes = comps.union(x.select("u", "cu")).union(x.select("v", "cv")).distinct()
     up = found.select(F.col("node").alias("component"), F.col("component").alias("top"))
     return materialize(nodes.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))), crossing
@@ -497,6 +497,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     first = ids.groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("last")).where("u < last")
     links = links.union(ids.join(first, "doc_id").select("u", F.col("class").alias("v")).where("u <> v").distinct())
     comps, _ = merged(nodes.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0), links)
+    free_shuffles(spark)
     nearest = True
     while True:
         own = shared.select("token", "c1", "n", "pos").join(nodes.select("c1", "class", *SKETCH), "c1").join(comps.withColumnRenamed("node", "class"), "class", "left")
@@ -506,7 +507,8 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if not nearest:
             break
         tried = materialize(tried.union(pairs))
-        nearest = 0 < pairs.count() <= 8 * crossing
+        nearest = 0 < pairs.count() <= 2 * crossing
+        free_shuffles(spark)
     discard(spark, path)
     # The least id of each component, over all rows of its classes, and of each id over its rows.
     tops = nodes.select("c1", "c2", "class", "rep").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

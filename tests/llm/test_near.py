@@ -74,6 +74,21 @@ def test_large_group_of_near_copies(texts):
     assert [got[i] for i in range(len(values))] == brute(values, 3, 90, 100)
 
 
+def test_large_buckets_in_blocks(texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    values = near_copies(4, 3, 30, 60, 0.05)
+    got = components(ngram_join.near_components(texts(values), 3, 90, 100))
+    assert [got[i] for i in range(len(values))] == brute(values, 3, 90, 100)
+
+
+def test_rows_with_one_id_are_one_node(spark, texts):
+    rows = [(1, "a b c"), (2, "a b c"), (2, "x y z"), (3, "x y z"), (4, "q r s"), (4, "q r s"), (5, None), (5, "x y z t"), (6, ""), (None, "m n o"), (None, "u v w"), (7, "u v w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, 3, 90, 100).collect())
+    want = [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4), (5, 0, 5), (5, 2, 5), (6, 0, 6), (-1, 1, None), (-1, 1, None), (7, 1, None)]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
 def test_drop_near_keeps_one_of_each(texts):
     docs = texts(["a b c d e f", "a b c d e f", "g h i j k l", ""])
     assert sorted(r.doc_id for r in ngram_join.drop_near(docs).collect()) == [0, 2, 3]
@@ -144,6 +159,17 @@ def test_walk_in_step_is_the_walk_alone():
     assert (edit_fingerprint.walk(code, ends - size, ends, few=0) == edit_fingerprint.walk(code, ends - size, ends, few=10**9)).all()
 
 
+def test_walk_of_a_long_text_is_the_walk_in_parts():
+    import numpy as np
+
+    code = np.random.default_rng(5).integers(0, 64, 200_000).astype(np.uint8)
+    ends = np.array([200_000])
+    assert (edit_fingerprint.walk(code, ends - 200_000, ends, few=0) == edit_fingerprint.walk(code, ends - 200_000, ends)).all()
+    data = np.frombuffer(("aé漢𝄞" * 300_000).encode(), np.uint8)
+    some, at = edit_fingerprint.classes(data)
+    assert len(some) == len(at) == 1_200_000 and (some.reshape(-1, 4) == some[:4]).all()
+
+
 def test_near_links_find_small_edits(texts):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(1500)) for _ in range(20)]
