@@ -39,32 +39,40 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5) -> DataFrame:
-    """Rules (rule_id, antecedent) for bad pages from rows (tokens, bad).
+def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 5, min_lift: float = 1.25) -> DataFrame:
+    """Rules (rule_id, antecedent, token) for bad pages from rows (tokens, bad), each with the token that it is indexed by.
 
-    FP-growth finds the token sets of at least min_count pages and min_support of all; a rule is a set of any
-    number of tokens whose share of bad pages is min_confidence or more. As each page has few tokens, the support
-    bounds the number of rules: it doesn't grow with the pages.
+    FP-growth finds the token sets of at least min_count bad pages and min_support of all; a rule is a set of any number
+    of tokens whose share of bad pages (its confidence) is min_lift times that of all pages or more. A rule that holds
+    all tokens of another one is left out, as it blocks nothing more. As each page has few tokens, the support bounds the
+    number of rules: it doesn't grow with the pages.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    n = labelled.count()
-    empty = labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>")
-    if n < min_count:
-        return empty
+    n, bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if bad < min_count:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, token string")
     items = labelled.select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit("bad")).otherwise(F.lit("good")))).alias("items"))
     # half a page below the count wanted, so that rounding in the product can't ask for one more
     support = max(min_support, (min_count - 0.5) / n)
-    rules = FPGrowth(minSupport=support, minConfidence=min_confidence).fit(items).associationRules
-    rules = rules.where(F.element_at("consequent", 1) == "bad")
-    return materialize(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), "antecedent"))
+    rules = FPGrowth(minSupport=support, minConfidence=min(1.0, min_lift * (bad / n))).fit(items).associationRules
+    rules = rules.where(F.element_at("consequent", 1) == "bad").select(F.array_sort("antecedent").alias("antecedent"))
+    rules = materialize(rules.withColumn("rule_id", F.xxhash64("antecedent")))
+    kept = rules.where(F.size("antecedent") == 1).select("rule_id", "antecedent")
+    size = F.size("antecedent")
+    part = rules.where(size > 1).select("rule_id", "antecedent", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(antecedent)) - 2"))).alias("mask"))
+    part = part.select("rule_id", F.xxhash64(F.filter("antecedent", lambda x, i: F.getbit(F.col("mask"), i) == 1)).alias("less"))
+    more = part.join(rules.select(F.col("rule_id").alias("less")), "less", "left_semi").select("rule_id").distinct()
+    kept = kept.union(rules.where(size > 1).select("rule_id", "antecedent").join(more, "rule_id", "left_anti"))
+    seen = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rare = kept.select("rule_id", F.explode("antecedent").alias("token")).join(seen, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("least"))
+    return materialize(kept.join(rare, "rule_id").select("rule_id", "antecedent", "least.token"))
 
 
 def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct (url, tokens) rows that hold every token of some rule, through an inverted index of the rules' tokens."""
-    index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
-    held = pages.select("url", F.explode("tokens").alias("token")).join(index, "token")
-    return held.groupBy("url", "rule_id", "need").agg(F.count(F.lit(1)).alias("have")).where("have = need").select("url").distinct()
+    """Distinct (url) of rows that hold every token of some rule: an inverted index has each rule at its rarest token."""
+    held = pages.select("url", "tokens", F.explode("tokens").alias("token")).join(rules, "token")
+    return held.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("url").distinct()
 
 
 def curated(rules=CURATED) -> Column:
@@ -113,13 +121,16 @@ k AS (
   FROM (SELECT DISTINCT url, host, path FROM u WHERE url IS NOT NULL)),
 l AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 t AS (
-  SELECT url, token, quality = 0 AS bad FROM k JOIN l ON l.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT)),
-n AS (SELECT count(DISTINCT url) AS n FROM t),
-s AS (
-  SELECT token AS a, token AS b, count(*) AS c, count(*) FILTER (bad) AS g FROM t GROUP BY token
-  UNION ALL SELECT x.token, y.token, count(*), count(*) FILTER (x.bad) FROM t x JOIN t y ON x.url = y.url AND x.token < y.token GROUP BY x.token, y.token),
-r AS (SELECT a, b FROM s, n WHERE n.n >= 20 AND g >= greatest(20, ceil(0.001 * n.n)) AND g / c >= 0.5),
-h AS (SELECT DISTINCT x.url FROM k x JOIN r ON r.a = x.token JOIN k y ON y.url = x.url AND y.token = r.b)
+  SELECT k.url, list_sort(list(token)) AS tokens, any_value(quality) = 0 AS bad
+  FROM k JOIN l ON l.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) GROUP BY k.url),
+n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS b FROM t),
+-- Every set of tokens of every labelled page.
+x AS (SELECT list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS part, bad FROM t, LATERAL (SELECT unnest(range(1, (1 << len(tokens))::BIGINT)) AS mask)),
+r AS (
+  SELECT part FROM (SELECT part, count(*) AS c, count(*) FILTER (bad) AS g FROM x GROUP BY part), n
+  WHERE g >= greatest(5, ceil(0.001 * n)) AND g::DOUBLE / c >= 1.25::DOUBLE * (b::DOUBLE / n)),
+w AS (SELECT url, list(token) AS tokens FROM k GROUP BY url),
+h AS (SELECT DISTINCT url FROM w, r WHERE list_has_all(tokens, part))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN url IN (SELECT url FROM h) THEN 'block' ELSE 'allow' END) AS verdict
 FROM (SELECT *, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
