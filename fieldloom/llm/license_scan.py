@@ -53,22 +53,22 @@ def split_words(text: Column) -> Column:
 
 
 def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lists) -> DataFrame:
-    """Votes (doc_id, template, label, exact, total, diagonal, mask, first, last), and for each id a row without template
-    whose `last` is its number of words. One pass over the texts, checkpointed.
+    """Votes (row, doc_id, template, label, exact, total, diagonal, mask, first, last), and for each row of docs a vote
+    without template that has its number of words, n_words. One pass over the texts, checkpointed, which numbers the rows.
 
     Every rolling 2-gram of words is joined by its hash to the templates' positions; a hash match counts only if the
     words agree. A match votes for the diagonal word position - template position; mask has the template positions.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("words"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))
     # The pair at the end has no second word; a pair of nothing is put before it all, and carries the number of words.
     pairs = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("a"), F.size("words").cast("string").alias("b"))), pairs)
-    rolling = words.select("doc_id", F.posexplode(pairs).alias("at", "gram")).select("doc_id", (F.col("at") - 1).alias("dpos"), "gram.a", "gram.b")
+    rolling = words.select("row", "doc_id", F.posexplode(pairs).alias("at", "gram")).select("row", "doc_id", (F.col("at") - 1).alias("dpos"), "gram.a", "gram.b")
     rolling = rolling.withColumn("hash", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.xxhash64("a", "b")))
     grams = template_grams(docs.sparkSession, **lists).withColumn("hash", F.xxhash64("w0", "w1"))
     hits = rolling.join(F.broadcast(grams), (rolling["hash"] == grams["hash"]) & (F.col("a") == F.col("w0")) & (F.col("b") == F.col("w1")), "left")
     hits = hits.where("template is not null or dpos < 0")
-    votes = hits.groupBy("doc_id", "template", "label", "exact", "total", (F.col("dpos") - F.coalesce("tpos", F.lit(0))).alias("diagonal")).agg(
+    votes = hits.groupBy("row", "doc_id", "template", "label", "exact", "total", (F.col("dpos") - F.coalesce("tpos", F.lit(0))).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("dpos").alias("first"),
         F.sum(F.when(F.col("dpos") < 0, F.col("b").cast("long"))).alias("n_words"), F.max("dpos").alias("last"),
     )
@@ -76,26 +76,26 @@ def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def spans_of(votes: DataFrame, gap: int = 2, coverage: float = 0.8) -> DataFrame:
-    """Verified spans of votes: doc_id, template, label, exact, start (word), coverage.
+    """Verified spans of votes: row, doc_id, template, label, exact, start (word), coverage.
 
     An exact phrase needs all its 2-grams on one diagonal. Of other templates, diagonals up to `gap` apart merge; the
     merged span holds if it has `coverage` of the template's 2-grams within 1.5 times its length, and if no other of more
     coverage begins at most `gap` words away.
     """
-    exact = votes.where("exact and bit_count(mask) = total").select("doc_id", "template", "label", "exact", F.col("first").alias("start"), F.lit(1.0).alias("coverage"))
-    line = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    exact = votes.where("exact and bit_count(mask) = total").select("row", "doc_id", "template", "label", "exact", F.col("first").alias("start"), F.lit(1.0).alias("coverage"))
+    line = Window.partitionBy("row", "template").orderBy("diagonal")
     loose = votes.where("not exact").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > gap).cast("long"), F.lit(0).cast("long")))
     loose = loose.withColumn("cluster", F.sum("new").over(line))
-    loose = loose.groupBy("doc_id", "template", "label", "exact", "total", "cluster").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
+    loose = loose.groupBy("row", "doc_id", "template", "label", "exact", "total", "cluster").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("start"), F.max("last").alias("last"))
     loose = loose.withColumn("coverage", F.bit_count("mask") / F.col("total"))
     loose = loose.where((F.col("coverage") >= coverage) & ((F.col("last") - F.col("start") + 1) * 2 <= F.col("total") * 3))
-    around = Window.partitionBy("doc_id").orderBy("start").rangeBetween(-gap, gap)
+    around = Window.partitionBy("row").orderBy("start").rangeBetween(-gap, gap)
     loose = loose.withColumn("most", F.max("coverage").over(around)).where("coverage >= most")
     return exact.unionByName(loose.select(*exact.columns))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, coverage: float = 0.8, **lists) -> DataFrame:
-    """Verified spans of all texts. Rows with the same id are taken as one document's; null and empty texts have none."""
+    """Verified spans of all texts, with a number `row` of the text's row; null and empty texts have none."""
     return spans_of(diagonals(docs, id_col, text_col, **lists), gap, coverage)
 
 
@@ -104,14 +104,13 @@ def joined(labels: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, coverage: float = 0.8, **lists) -> DataFrame:
-    """One row per id of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the largest coverage of a verified span, or 0. A null text counts as empty: no words, null first and
-    last word, empty labels. Rows with equal ids are one document whose words are
-    those of all, and whose places are each row's own; null ids are one such id.
+    last word, empty labels. Rows with equal or null ids are judged each for itself.
     """
     votes = diagonals(docs, id_col, text_col, **lists)
-    found = spans_of(votes, gap, coverage).groupBy("doc_id").agg(
+    found = spans_of(votes, gap, coverage).groupBy("row").agg(
         F.count(F.when(F.col("exact"), 1)).alias("n_base"),
         F.min(F.when(F.col("exact"), F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("exact"), F.col("start"))).cast("long").alias("last_word"),
@@ -119,8 +118,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: i
         joined(F.collect_set("label")).alias("labels"),
         F.max("coverage").alias("score"),
     )
-    a, b = votes.where("template is null").select("doc_id", "n_words").alias("a"), found.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
+    a, b = votes.where("template is null").select("row", "doc_id", "n_words").alias("a"), found.alias("b")
+    return a.join(b, F.col("a.row") == F.col("b.row"), "left").select(
         "a.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
