@@ -72,11 +72,12 @@ def _number(hexes: Column, start: int, n: int) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, seed: str = "mix-1", **kw) -> DataFrame:
     """What the mix takes of each row: doc_id, source, size, source_size, target, taken, and the plan of its shard.
 
-    1. Sizes of rows and sources. Each source is cut into shards of about `shard` words by a hash of the id, so the
-       largest source is as many groups as its size asks for.
-    2. The words of a shard stand one after another in seeded order and are cut into blocks of `block` words. A source
-       has target / block blocks to give (rounded), which Sainte-Laguë deals to its shards by their words. A first
-       whole pass takes each block once; the remaining quota is a systematic sample with a seeded start.
+    1. Sizes of rows and sources. Each source is cut into shards of about `shard` words, and at most about a tenth as
+       many rows, by a hash of the id, so the largest source is as many groups as its size asks for.
+    2. The mix has as many blocks of `block` words as all targets hold (rounded). Sainte-Laguë deals them to the sources
+       by the quotients of their targets, and each source's blocks to its shards by their words. The words of a shard
+       stand one after another in seeded order and are cut into blocks. A first whole pass takes each block once; the
+       remaining quota is a systematic sample with a seeded start.
     3. A row's share is what the taken blocks hold of it, so no row gives more than two times its size.
 
     Null text has size 0 and is taken 0 times. A null source is a source of its own. Rows with the same id are taken
@@ -85,16 +86,20 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     base = base.withColumn("hash", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     base = materialize(base)
-    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **kw)
-    goal = goal.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard)))
-    goal = materialize(goal.withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))))
+    sizes = materialize(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")))
+    goal = targets(sizes, **kw).withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("tie", F.col("tag"))
+    due = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")  # one row per source only
+    goal = sainte_lague(goal.withColumn("__due", due), [], F.col("__due"), F.col("target"), "due").drop("__due", "tie")
+    rows_of = sizes.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("tag"), "source_rows")
+    many = F.greatest(F.ceil(F.col("source_size") / shard), F.ceil(F.col("source_rows") * 10 / shard), F.lit(1).cast("long"))
+    goal = materialize(goal.join(rows_of, "tag").withColumn("shards", many).drop("source_rows"))
     base = base.withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     if goal.count() <= FEW_SOURCES:
         goal = F.broadcast(goal)  # else a shuffled join, whose hot keys adaptive execution splits
     rows = base.drop("source").join(goal, "tag").withColumn("shard", F.pmod(_number(F.col("hash"), 1, 8), F.col("shards")))
-    parts = rows.groupBy("tag", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    parts = rows.groupBy("tag", "shard").agg(F.sum("size").alias("words"), F.first("due").alias("due"))
     parts = parts.withColumn("tie", F.col("shard"))
-    parts = sainte_lague(parts, ["tag"], F.round(F.col("target") / block).cast("long"), F.col("words"), "quota")
+    parts = sainte_lague(parts, ["tag"], F.col("due"), F.col("words"), "quota")
     parts = parts.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("quota", F.least("quota", F.col("blocks") * 2))
     parts = parts.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0).cast("long")))
     parts = parts.withColumn("extra", F.col("quota") - F.col("passes") * F.col("blocks"))
@@ -153,7 +158,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS hash
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM d GROUP BY source),
 r AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
 c AS (SELECT *, 2 * source_size AS cap, (SELECT sum(source_size)::BIGINT FROM s) AS total FROM r),
 -- A set of capped sources: those at or below a ratio of cap to weight. The common level is of the first set that holds all it must.
@@ -165,12 +170,16 @@ f AS (SELECT * FROM l WHERE ratio * rest * 2 >= 3 * total - 2 * capped ORDER BY
 t AS (
   SELECT c.source, c.source_size, CASE WHEN c.cap / c.weight >= f.ratio
          THEN c.weight::DOUBLE * (3 * f.total - 2 * f.capped)::DOUBLE / (f.rest * 2)::DOUBLE ELSE c.cap::DOUBLE END AS target,
-         greatest(1, ceil(c.source_size / 1000000))::BIGINT AS shards, coalesce('s' || c.source, 'n') AS tag
+         greatest(1, ceil(c.source_size / 1000000), ceil(c.source_rows * 10 / 1000000))::BIGINT AS shards, coalesce('s' || c.source, 'n') AS tag
   FROM c LEFT JOIN f ON true),
 x AS (
   SELECT d.*, t.source_size, t.target, t.tag, ('0x' || substr(d.hash, 1, 8))::BIGINT % t.shards AS shard
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT tag, shard, sum(size)::BIGINT AS words, round(first(target) / 256)::BIGINT AS seats FROM x GROUP BY tag, shard),
+-- All blocks are dealt to the sources by plain highest quotients of their targets.
+z AS (SELECT round(sum(target) / 256)::BIGINT AS n FROM t),
+y AS (SELECT tag, target / (2 * k + 1) AS quotient, k, n FROM t, z, LATERAL (SELECT unnest(range(n + 1)) AS k) WHERE target > 0),
+u AS (SELECT tag, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, tag, k) AS i FROM y) WHERE i <= n GROUP BY tag),
+p AS (SELECT x.tag, shard, sum(size)::BIGINT AS words, coalesce(first(u.seats), 0)::BIGINT AS seats FROM x LEFT JOIN u ON x.tag = u.tag GROUP BY x.tag, shard),
 -- Plain highest quotients, one for each seat that a shard could get.
 q AS (SELECT tag, shard, seats, words::DOUBLE / (2 * k + 1) AS quotient, k FROM p, LATERAL (SELECT unnest(range(seats + 1)) AS k) WHERE words > 0),
 w AS (SELECT tag, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY quotient DESC, shard, k) AS n FROM q) WHERE n <= seats GROUP BY tag, shard),

@@ -144,7 +144,7 @@ def test_urls(spark, sf):
 def test_rules_are_mined_and_matched(spark):
     pages = [(i, f"http://{'spam' if i % 2 else 'good'}.x.org/{'ad' if i % 3 else 'news'}/{i}") for i in range(300)]
     labels = [(i, 0 if i % 2 and i % 3 else 1, 0) for i in range(200)]
-    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), min_confidence=0.9).collect()
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), min_lift=2.9).collect()
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i in range(300) if i % 2 and i % 3}
 
 
@@ -163,8 +163,41 @@ def test_rules_of_any_length_match_brute_force(texts, spark):
             for s in itertools.combinations(t, n):
                 seen[s] += 1
                 hits[s] += b
-    rules = [set(s) for s in seen if hits[s] >= 20 and 2 * hits[s] >= seen[s]]
+    base = sum(bad) / len(bad)
+    rules = [set(s) for s in seen if hits[s] >= 20 and hits[s] / seen[s] >= 3 * base]
     want = {i: any(r <= set(t) for r in rules) for i, t in enumerate(held)}
     assert min(map(len, rules)) == 3 and any(want.values()) and not all(want.values())
-    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labels, rules=()).collect()
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labels, rules=(), min_count=20, min_lift=3).collect()
     assert {r.page_id: r.verdict == "block" for r in got} == want
+
+
+def test_mined_rules_decide_verdicts_of_the_given_pages(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        pages, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("pages", "labels"))
+        with_rules = url_filter.judge(pages, labels).where("rule is null and verdict = 'block'").count()
+        assert with_rules > 0 and url_filter.judge(pages, labels, min_lift=1e9).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_pages_of_nothing_and_repeated_ids(spark):
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), labels).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (None, "http://a.org/x"), (1, None)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.verdict) for r in url_filter.judge(pages, labels).collect()) == [(0, "allow"), (1, "allow"), (1, "block"), (1, "block")]
+
+
+def test_license_rows_with_one_id_are_judged_alone(spark):
+    rows = [(1, "general public x"), (1, "x public license"), (2, "mit license"), (2, "mit license"), (None, "mit license"), (None, "a"), (2, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.base_labels) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 3, 0, ""), (1, 3, 0, ""), (2, 2, 1, "mit"), (2, 2, 1, "mit"), (0, 2, 1, "mit"), (0, 1, 0, ""), (2, 0, 0, "")])
+
+
+def test_blocks_go_to_the_sources_with_the_highest_quotients(spark):
+    """Ten equal sources of which each has a target of 1.5 blocks: fifteen blocks in all, never ten or twenty."""
+    rows = [(s * 10 + i, " ".join(["w"] * 16), f"s{s}") for s in range(10) for i in range(1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.taken for r in mixing.plan(docs, block=16, weights=(1,)).select("source", "taken").collect()}
+    assert sum(taken.values()) == 15 * 16 and set(taken.values()) == {16, 32}
+    assert [taken[f"s{s}"] for s in range(10)] == [32] * 5 + [16] * 5  # ties go to the smaller name
+    # ids that repeat are rows of their own
+    both = docs.union(docs)
+    assert mixing.plan(both, block=16).count() == 20
