@@ -19,6 +19,8 @@ HEX = np.frombuffer(b"0123456789abcdef-", np.uint8)
 PAD = 16
 #: With so few walks left, they are finished one by one.
 FEW = 48
+#: Steps of a walk for which coins are drawn at once.
+COINS = 1 << 16
 #: Buckets of neighbouring ids for each partition.
 BUCKETS = 4
 
@@ -41,13 +43,18 @@ def coins(first: int, n: int) -> np.ndarray:
 def classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A class (0 to 63) of each code point of UTF-8 bytes, and its first byte's place."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    value = data[at].astype(np.uint64)
-    if len(at) < len(data):
-        width = np.diff(np.r_[at, len(data)])
-        for k in range(1, 4):
-            more = np.flatnonzero(width > k)
-            value[more] = value[more] * np.uint64(257) + data[at[more] + k]
-    return (mix(value) >> np.uint64(58)).astype(np.uint8), at
+    out = np.empty(len(at), np.uint8)
+    for a in range(0, len(at), 1 << 20):  # in parts, so that a long text takes little memory
+        own = at[a : a + (1 << 20)]
+        value = data[own].astype(np.uint64)
+        last = at[a + len(own)] if a + len(own) < len(at) else len(data)
+        if len(own) < last - own[0]:
+            width = np.diff(np.r_[own, last])
+            for k in range(1, 4):
+                more = np.flatnonzero(width > k)
+                value[more] = value[more] * np.uint64(257) + data[own[more] + k]
+        out[a : a + len(own)] = mix(value) >> np.uint64(58)
+    return out, at
 
 
 def walk(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, few: int = FEW) -> np.ndarray:
@@ -85,25 +92,30 @@ def walk(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, few: int = FEW)
         step += block
         live = at < end
         lanes, at, end, own = lanes[live], at[live], end[live], own[live]
-    if not len(lanes):
-        return out
-    most = int(4 * (end - at).max()) + 64
-    words = coins(step, most).tolist()
+    # The last few go on one by one, all through one block of coins before the next is drawn.
+    rest = []
     for lane, p, e, s in zip(lanes.tolist(), at.tolist(), end.tolist(), own.tolist()):
-        text = code[p:e].tobytes()
-        p, size, j = 0, e - p, step
         marks = [(m, 0, k) for k, m in enumerate(steps[s].tolist()) if m >= step]
         if s:
             marks += [(m, 1, k) for k, m in enumerate(steps[s - 1].tolist()) if m >= step]
-        for m, which, k in sorted(marks):
-            while j < m and p < size:
-                if j - step >= len(words):
-                    words += coins(step + len(words), most).tolist()
-                p += (words[j - step] >> text[p]) & 1
-                j += 1
-            if p >= size:
-                break
-            out[lane, which, k] = symbol[text[p]]
+        rest.append([lane, code[p:e].tobytes(), 0, sorted(marks, reverse=True)])
+    while rest:
+        words, stop = coins(step, COINS).tolist(), step + COINS
+        for one in rest:
+            lane, text, p, marks = one
+            j, size = step, len(text)
+            while marks:
+                to = min(marks[-1][0], stop)
+                while j < to and p < size:
+                    p += (words[j - step] >> text[p]) & 1
+                    j += 1
+                if p >= size or j < marks[-1][0] or j >= stop:
+                    break
+                _, which, k = marks.pop()
+                out[lane, which, k] = symbol[text[p]]
+            one[2] = p
+        rest = [one for one in rest if one[3] and one[2] < len(one[1])]
+        step = stop
     return out
 
 
