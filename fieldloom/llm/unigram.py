@@ -369,16 +369,16 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, n_byte_tokens, ids_sha256 (of little-endian int32), text_sha256 and decoded_sha256 (of
-    UTF-8), round_trip; and the columns `carry` of docs. Null text counts as empty. A text with the mark itself comes
+    UTF-8), round_trip; and the columns `carry` of docs; if `whole`, the text and its ids themselves as well. Null text counts as empty. A text with the mark itself comes
     back with spaces, and round_trip is false for it."""
     import hashlib
 
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), *carry)
     shared = docs.sparkSession.sparkContext.broadcast(parse_model(path))
     fields = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    names = ["doc_id", *carry, "n_tokens", "n_byte_tokens", "ids_sha256", "text_sha256", "decoded_sha256", "round_trip"]
+    names = ["doc_id", *carry, "n_tokens", "n_byte_tokens", "ids_sha256", "text_sha256", "decoded_sha256", "round_trip", *(("text", "ids") if whole else ())]
 
     def run(batches):
         import pyarrow as pa
@@ -394,9 +394,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             byte = np.r_[0, np.cumsum(m.kinds[ids] == BYTE)]
             own = [b.column(c) for c in ("doc_id", *carry)]
             texts, back = [sha(r) for r in raw], [sha(d) for d in decoded]
+            out = [text, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))] if whole else []
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(np.diff(offsets)), pa.array(np.diff(byte[offsets])), pa.array([sha(ids[i:j].astype("<i4").tobytes()) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()),
-                 pa.array(texts, pa.string()), pa.array(back, pa.string()), pa.array([r == d for r, d in zip(raw, decoded)], pa.bool_())], names,
+                 pa.array(texts, pa.string()), pa.array(back, pa.string()), pa.array([r == d for r, d in zip(raw, decoded)], pa.bool_()), *out], names,
             )
 
-    return x.mapInArrow(run, f"{fields}, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, text_sha256 string, decoded_sha256 string, round_trip boolean")
+    return x.mapInArrow(run, f"{fields}, n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, text_sha256 string, decoded_sha256 string, round_trip boolean" + ", text string, ids array<int>" * whole)
