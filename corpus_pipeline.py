@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids and the text they decode to, as digests, with the row's source and number of tokens."""
-    return unigram.encode_decode(docs, carry=("source",))
+    """Each row's text and ids, digests of these and of the text they decode to, with the row's source and number of tokens."""
+    return unigram.encode_decode(docs, carry=("source",), whole=True)
 
 
 STAGES = [
