@@ -11,8 +11,8 @@ Words are lower-cased (A-Z) runs of other than ASCII white space; a document is
 3. In each bucket of a shared shingle, classes meet the bucket's first class only (length and positional filters). Pairs
    that meet often enough are verified; their components are found.
 4. In the buckets that still hold several components, each class meets the class of another component that looks nearest,
-   and components are merged, over again while half of a round's pairs links. Then all pairs between different
-   components that pass the filters and haven't been verified yet are verified.
+   and components are merged, over again while a round joins half as many components as it verifies pairs. Then all
+   pairs between different components that pass the filters and haven't been verified yet are verified.
 
 Pairs within a component would change nothing, so they are never made: a large group of near copies costs rows by its
 size, not its square, and no link between documents that are not yet together is lost. A bucket above a size is dealt out
@@ -371,12 +371,12 @@ def crossing_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFr
 
 
 def merged(comps: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """Components (node, component) after more links (u, v), and how many of these cross: the components' own links are
-    found and joined back."""
+    """Components (node, component) after more links (u, v), and how many pairs of components these
+    join: the components' own links are found and joined back."""
     a, b = (comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
     x = links.join(a, "u", "left").join(b, "v", "left").select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
     x = materialize(x)
-    crossing = x.where("cu <> cv").count()
+    crossing = x.where("cu <> cv").select(F.least("cu", "cv"), F.greatest("cu", "cv")).distinct().count()
     if not crossing:
         return comps, 0
     found = connected_components(x.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
@@ -390,8 +390,8 @@ def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
     words = wanted.select(place.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS INT))")).alias("bits"))
     table = np.zeros(FILTER // 64, np.int64)
-    for r in words.toLocalIterator():  # FILTER / 64 rows at most
-        table[r["w"]] = r["bits"]
+    found = words.toArrow()  # FILTER / 64 rows at most
+    table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -503,11 +503,13 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         own = shared.select("token", "c1", "n", "pos").join(nodes.select("c1", "class", *SKETCH), "c1").join(comps.withColumnRenamed("node", "class"), "class", "left")
         own = dealt_buckets(own.withColumn("comp", F.coalesce("component", "class")), large)
         pairs = materialize(crossing_pairs(own, num, den, nearest).join(tried, ["u", "v"], "left_anti"))
-        comps, crossing = merged(comps, verified(pairs, nodes, x, k, num, den).select("u", "v"))
+        found, crossing = pairs.count(), 0
+        if found:
+            comps, crossing = merged(comps, verified(pairs, nodes, x, k, num, den).select("u", "v"))
         if not nearest:
             break
         tried = materialize(tried.union(pairs))
-        nearest = 0 < pairs.count() <= 2 * crossing
+        nearest = 0 < found <= 2 * crossing
         free_shuffles(spark)
     discard(spark, path)
     # The least id of each component, over all rows of its classes, and of each id over its rows.

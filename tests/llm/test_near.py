@@ -89,6 +89,16 @@ def test_rows_with_one_id_are_one_node(spark, texts):
     assert got == sorted(want, key=lambda r: r[:2])
 
 
+def test_components_in_one_task_and_by_rounds_agree(spark, texts):
+    from fieldloom.llm.components import connected_components
+
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 580)] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    a, b = (sorted(map(tuple, connected_components(edges, small=k).collect())) for k in (1 << 17, 0))
+    assert a == b and dict(a)[580] == 500
+
+
 def test_drop_near_keeps_one_of_each(texts):
     docs = texts(["a b c d e f", "a b c d e f", "g h i j k l", ""])
     assert sorted(r.doc_id for r in ngram_join.drop_near(docs).collect()) == [0, 2, 3]
