@@ -80,7 +80,7 @@ class PartitionRule:
         v = F.col(self.column).cast("double") * self.upscale + self.offset
         match self.mode:
             case "floor":
-                k = (v / self.size).cast("long") + F.signum(v).cast("long")
+                k = (v / self.size).cast("long") + F.when(v < 0, -1).otherwise(1)
             case "ceil":
                 k = F.ceil(v / self.size).cast("long")
             case "round":

@@ -107,7 +107,7 @@ def reduce_data(s, d):
 
 
 _KEYS = {
-    "floor": ("p_retailprice", 100.0, "trunc(v / 100)::BIGINT + sign(v)::BIGINT"), "ceil": ("p_retailprice", 100.0, "ceil(v / 100)::BIGINT"),
+    "floor": ("p_retailprice", 100.0, "trunc(v / 100)::BIGINT + CASE WHEN v < 0 THEN -1 ELSE 1 END"), "ceil": ("p_retailprice", 100.0, "ceil(v / 100)::BIGINT"),
     "round": ("p_retailprice", 100.0, "floor(v / 100 + 0.5)::BIGINT"), "modulo": ("p_size", 7.0, "trunc(v)::BIGINT % 7"),
 }
 for _mode, (_c, _s, _sql) in _KEYS.items():
