@@ -93,7 +93,10 @@ def settle(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graph-"))
     return df.checkpoint()
 
 
@@ -144,12 +147,13 @@ def unpack(packed: DataFrame, by: str = "cluster_id") -> DataFrame:
     return packed.select(by, F.explode("edges").alias("e")).select(by, "e.src", "e.dst")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable. Rounds of linking each node's larger neighbours, then its smaller
-    ones, to the least of them; a round's rows are as many as the links."""
+    ones, to the least of them, until none changes; a round's rows are as many as the links."""
+    edges = settle(edges.select("src", "dst"))
     work = settle(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = None
-    for _ in range(limit):
+    while True:
         both = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -211,12 +215,13 @@ def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return bellman_ford(edges.withColumn("weight", F.lit(1.0)), sources).select("node", F.col("cost").cast("long").alias("depth"))
 
 
-def spanning_forest(edges: DataFrame, weight: str = "weight", rounds: int = 32) -> DataFrame:
-    """Minimum spanning forest by rounds in which every component takes its cheapest edge (ties by the ends)."""
+def spanning_forest(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """Minimum spanning forest by rounds in which every component takes its cheapest edge (ties by the ends), until no
+    edge joins two components."""
     x = settle(edges.select("src", "dst", F.col(weight).cast("double").alias("w")))
     taken = x.where(F.lit(False)).select("src", "dst", "w")
     comp = both_ways(x.select("src", "dst")).select("node").distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         c = comp.select(F.col("node").alias("src"), F.col("component").alias("cs"))
         d = comp.select(F.col("node").alias("dst"), F.col("component").alias("cd"))
         out = settle(x.join(c, "src").join(d, "dst").where("cs <> cd"))

