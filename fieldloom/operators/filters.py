@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compare import col, numeric
+from ..functions.compare import col, numeric, string
 from ..functions.maths import fraction, remap, safe_index
 from .rangejoin import nearest
 
@@ -55,6 +55,17 @@ def self_compare(df: DataFrame, v: str, op: str, offset: int = 1, by: str = "dat
     return df.withColumn("passes", F.coalesce(numeric(v, op, other, tolerance), F.lit(fallback)))
 
 
+def self_compare_string(df: DataFrame, v: str, op: str, offset: int = 1, by: str = "dataset_id", order: str = "idx", fallback: bool = False) -> DataFrame:
+    """df with `passes`: a text compared with that of the row `offset` ahead; `fallback` where there is none."""
+    there = F.lead(col(v), offset) if offset >= 0 else F.lag(col(v), -offset)
+    return df.withColumn("__o", there.over(Window.partitionBy(by).orderBy(order))).withColumn("passes", F.coalesce(string(v, op, F.col("__o")), F.lit(fallback))).drop("__o")
+
+
+def constant(value: bool, invert: bool = False) -> Column:
+    """The same answer for every row."""
+    return F.lit(value != invert)
+
+
 def self_compare_index(df: DataFrame, v: str, op: str, index, by: str = "dataset_id", order: str = "idx", safety: str = "ignore", fallback: bool = False) -> DataFrame:
     """df with `passes`: v compared with v of the row at an index of its dataset, made safe."""
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
@@ -88,6 +99,12 @@ def compare_nearest(points: DataFrame, targets: DataFrame, a, op: str, b: str, k
     return points.join(found, key, "left").withColumn("passes", F.coalesce(numeric(a, op, F.col("__b")), F.lit(False))).drop("__b")
 
 
+def distance_nearest(points: DataFrame, targets: DataFrame, op: str, threshold: float, key: str = "id", names=("x", "y", "z"), skip_self: bool = False, tolerance: float = 1e-3) -> DataFrame:
+    """points with `passes`: the distance to the nearest target compared; false without any."""
+    found = nearest(points, targets, 1, key, names, skip_self).select(key, F.sqrt("d2").alias("__d"))
+    return points.join(found, key, "left").withColumn("passes", F.coalesce(numeric("__d", op, threshold, tolerance), F.lit(False))).drop("__d")
+
+
 def segment_length(df: DataFrame, op: str, threshold: float, offset: int = 1, by: str = "path_id", fallback: bool = False) -> DataFrame:
     """df with `passes`: the distance to the point `offset` ahead, compared."""
     w = Window.partitionBy(by).orderBy("idx")
@@ -161,6 +178,24 @@ def picker(df: DataFrame, picks: list, by: str = "dataset_id", safety: str = "ig
     return x.where(~hit if invert else hit).drop("__n")
 
 
+def pick_set(df: DataFrame, picks: DataFrame, index: str) -> DataFrame:
+    """Rows at the indices that a table lists; those outside a dataset pick nothing."""
+    return df.join(picks.select(F.col(index).cast("long").alias("idx")).distinct(), "idx", "left_semi").select(df.columns)
+
+
+def pick_ranges(df: DataFrame, ranges: DataFrame, low: str, high: str, block: int = 1024) -> DataFrame:
+    """Rows whose index lies in any of a table's ranges, both ends included: an equi-join on blocks of indices that the
+    ranges touch, with a residual test. Ranges beyond the last index are cut to it;
+    a range with a null end picks nothing."""
+    last = df.agg(F.max("idx").alias("__last"))
+    r = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull())
+    r = r.select(F.greatest(F.col(low).cast("long"), F.lit(0)).alias("__lo"), F.col(high).cast("long").alias("__hi")).distinct()
+    r = r.crossJoin(F.broadcast(last)).withColumn("__hi", F.least("__hi", "__last")).where("__lo <= __hi")  # one row
+    r = r.select("__lo", "__hi", F.explode(F.sequence(F.floor(F.col("__lo") / block), F.floor(F.col("__hi") / block))).alias("__b"))
+    x = df.withColumn("__b", F.floor(F.col("idx") / block))
+    return x.join(r, (x["__b"] == r["__b"]) & F.col("idx").between(F.col("__lo"), F.col("__hi")), "left_semi").select(df.columns)
+
+
 def inside_box(low: tuple[float, ...], high: tuple[float, ...], names=("x", "y", "z")) -> Column:
     out = F.lit(True)
     for a, lo, hi in zip(names, low, high):

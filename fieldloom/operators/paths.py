@@ -192,6 +192,20 @@ def orient(df: DataFrame) -> DataFrame:
     return x.withColumn("__n", F.nullif(norm, F.lit(0.0))).withColumns({f"d{a}": F.coalesce(F.col(f"d{a}") / F.col("__n"), F.lit(0.0)) for a in XYZ}).drop("__n")
 
 
+def look_at(df: DataFrame, offset: int = 1) -> DataFrame:
+    """df with the unit direction dx, dy, dz to the point `offset` ahead; zero where there is none or it is at one place."""
+    to = {a: neighbour(a, offset) - F.col(a) for a in XYZ}
+    x = df.withColumns({f"d{a}": v for a, v in to.items()})
+    norm = F.nullif(size([F.col(f"d{a}") for a in XYZ]), F.lit(0.0))
+    return x.withColumn("__n", norm).withColumns({f"d{a}": F.coalesce(F.col(f"d{a}") / F.col("__n"), F.lit(0.0)) for a in XYZ}).drop("__n")
+
+
+def inherit(df: DataFrame, v: str, mode: str = "first") -> DataFrame:
+    """df with `blended`: v of the path's first or last point, or (none) the point's own."""
+    whole = line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("blended", {"first": F.first(v).over(whole), "last": F.last(v).over(whole), "none": F.col(v)}[mode])
+
+
 def blend_ends(df: DataFrame, v: str) -> DataFrame:
     """df with `blended`: v of the first point to v of the last, by the time along the path."""
     w = line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -1389,3 +1389,6 @@ def filter_tensor_dot(s, d):
 def cluster_copy_to_points(s, d):
     k = T(s, d, "region").select((F.col("r_regionkey").cast("long") * 1_000_000).alias("k"))
     return _knn_edges(s, d).crossJoin(F.broadcast(k)).select((F.col("src") + F.col("k")).alias("src"), (F.col("dst") + F.col("k")).alias("dst"))  # one copy for each target is what this node makes
+
+
+from . import extended  # noqa: E402, F401  (registers its queries)
