@@ -1,7 +1,6 @@
 """Named queries over the driver tables, with equivalent DuckDB SQL.
 
-Every query runs over its whole tables, but for those of which there is another one by the same name with _whole: their
-SQL is the driver's oracle and keeps some rows only. `_QUERIES` maps a name to (function of session and folder, SQL or None).
+Every query runs over its whole tables. `_QUERIES` maps a name to (function of session and folder, SQL or None).
 """
 
 from __future__ import annotations
@@ -493,17 +492,6 @@ def match_limit(s, d):
     return matching.match(T(s, d, "nation"), T(s, d, "region"), [matching.by_attributes("n_regionkey", ">=", "r_regionkey")], limit=2, key="n_name", target_key="r_name")
 
 
-_RTAG = "rt AS (SELECT c_nationkey AS k, list_sort(list(DISTINCT c_mktsegment)) AS tags FROM customer WHERE c_acctbal < -500 GROUP BY c_nationkey)"
-
-
-def _segment_tags(s, d):
-    return T(s, d, "customer").where("c_acctbal < -500").groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("tags"))
-
-
-for _m, _cond in {"any": "list_has_any(a.tags, b.tags)", "all": "list_has_all(b.tags, a.tags)"}.items():
-    query(f"WITH {_RTAG} SELECT a.k::BIGINT AS candidate, b.k::BIGINT AS target FROM rt a, rt b WHERE {_cond}", f"match_shared_tag_{_m}")(
-        lambda s, d, m=_m: matching.match(_segment_tags(s, d), _segment_tags(s, d), [matching.shared_tags(m)], key="c_nationkey", target_key="c_nationkey").select(F.col("candidate").cast("long").alias("candidate"), F.col("target").cast("long").alias("target"))
-    )
 
 
 @query(f"WITH {_TAGS} SELECT dataset_id AS candidate, p_partkey AS target FROM tags JOIN part ON m['click'] > p_size + 20")
@@ -512,13 +500,6 @@ def match_tag_attribute(s, d):
     return matching.match(tables.event_tags(s, d), part, [matching.tag_attribute("click", ">", "need")], target_key="p_partkey")
 
 
-@query("""WITH b AS (SELECT p_brand AS k, min(p_size) AS a, max(p_size) AS z, min(p_retailprice) AS c, max(p_retailprice) AS e FROM part WHERE p_partkey % 40 < 2 GROUP BY p_brand)
-SELECT x.k AS candidate, y.k AS target FROM b x JOIN b y ON greatest(x.a, y.a) <= least(x.z, y.z) AND greatest(x.c, y.c) <= least(x.e, y.e)""")
-def match_overlap(s, d):
-    b = T(s, d, "part").where("p_partkey % 40 < 2").groupBy("p_brand").agg(F.min("p_size").alias("min_x"), F.max("p_size").alias("max_x"), F.min("p_retailprice").alias("min_y"), F.max("p_retailprice").alias("max_y"))
-    return matching.match(b, b, [matching.overlap()], key="p_brand", target_key="p_brand")
-
-
 @query(f"SELECT n_name AS candidate, r_name AS target FROM nation, region WHERE {_frac(9, 'n_name', 'r_name')} < 0.4")
 def match_random(s, d):
     return matching.match(T(s, d, "nation"), T(s, d, "region"), [matching.randomly(0.4, 9, "n_name", "r_name")], key="n_name", target_key="r_name")
@@ -530,13 +511,6 @@ def data_match(s, d):
     return matching.data_match(T(s, d, "customer"), T(s, d, "orders"), rule).select("c_custkey")
 
 
-@query(f"WITH {_RTAG}, p AS (SELECT a.k, a.tags, flatten(list(b.tags)) AS more FROM rt a JOIN rt b ON a.k % 5 = b.k % 5 GROUP BY a.k, a.tags) SELECT k::BIGINT AS k, array_to_string(list_sort(list_distinct(tags || more)), ',') AS tags FROM p")
-def match_copy_tags(s, d):
-    t = _segment_tags(s, d).withColumnRenamed("c_nationkey", "dataset_id")
-    pairs = matching.match(t, t, [(F.col("c.dataset_id") % 5) == (F.col("t.dataset_id") % 5)])
-    return matching.copy_tags(t, pairs, t).select(F.col("dataset_id").cast("long").alias("k"), F.array_join("tags", ",").alias("tags"))
-
-
 #: Over all rows: the segments of each nation's customers by steps of 500 in balance; the boxes of each brand, type
 #: and step of 5 in size.
 _STAG = "st AS (SELECT c_nationkey::BIGINT * 100 + floor(c_acctbal / 500)::BIGINT + 2 AS k, list_sort(list(DISTINCT c_mktsegment)) AS tags FROM customer GROUP BY 1)"
@@ -549,20 +523,20 @@ def _step_tags(s, d):
 
 
 for _m, _cond in {"any": "list_has_any(a.tags, b.tags)", "all": "list_has_all(b.tags, a.tags)"}.items():
-    query(f"WITH {_STAG} SELECT a.k AS candidate, b.k AS target FROM st a, st b WHERE {_cond}", f"match_shared_tag_{_m}_whole")(
+    query(f"WITH {_STAG} SELECT a.k AS candidate, b.k AS target FROM st a, st b WHERE {_cond}", f"match_shared_tag_{_m}")(
         lambda s, d, m=_m: matching.match(_step_tags(s, d), _step_tags(s, d), [matching.shared_tags(m)])
     )
 
 
 @query(f"WITH {_STAG}, p AS (SELECT a.k, a.tags, flatten(list(b.tags)) AS more FROM st a JOIN st b ON a.k // 2 = b.k // 2 GROUP BY a.k, a.tags) SELECT k, array_to_string(list_sort(list_distinct(tags || more)), ',') AS tags FROM p")
-def match_copy_tags_whole(s, d):
+def match_copy_tags(s, d):
     t = _step_tags(s, d)
     pairs = matching.match(t, t, [F.floor(F.col("c.dataset_id") / 2) == F.floor(F.col("t.dataset_id") / 2)])
     return matching.copy_tags(t, pairs, t).select(F.col("dataset_id").alias("k"), F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"WITH {_TBOX} SELECT x.k AS candidate, y.k AS target FROM tb x JOIN tb y ON greatest(x.a, y.a) <= least(x.z, y.z) AND greatest(x.c, y.c) <= least(x.e, y.e)")
-def match_overlap_whole(s, d):
+def match_overlap(s, d):
     b = T(s, d, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type", F.floor(F.col("p_size") / 5).cast("string")).alias("dataset_id"))
     b = b.agg(F.min("p_size").alias("min_x"), F.max("p_size").alias("max_x"), F.min("p_retailprice").alias("min_y"), F.max("p_retailprice").alias("max_y"))
     return matching.match(b, b, [matching.overlap()])
@@ -1031,31 +1005,12 @@ def _weighted(s, d):
     return e.withColumn("cluster_id", F.lit(0).cast("long"))
 
 
-@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
-def pathfinding_dijkstra(s, d):
-    goals = tables.embedding_points(s, d).where("id % 50 = 49").select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
-    return search.paths(_weighted(s, d), goals).where("cost is not null").select("start", "goal", *r6("cost"))
-
-
-@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
-def pathfinding_bidirectional(s, d):
-    goals = tables.embedding_points(s, d).where("id % 50 = 49").select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
-    return search.paths(_weighted(s, d), goals, "bidirectional").where("cost is not null").select("start", "goal", *r6("cost"))
-
-
-@query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN} WHERE node % 50 = 49")
-def pathfinding_astar(s, d):
-    p = tables.embedding_points(s, d).withColumn("cluster_id", F.lit(0).cast("long"))
-    goals = p.where("id % 50 = 49").select("cluster_id", F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
-    return search.paths(_weighted(s, d), goals, "astar", p).where("cost is not null").select("start", "goal", *r6("cost"))
-
-
 def _from_first(s, d):
     return tables.embedding_points(s, d).select(F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
 
 
 for _m in ("dijkstra", "bidirectional", "astar"):
-    query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN}", f"pathfinding_{_m}_whole")(
+    query(f"WITH {_KB}, {_BF} SELECT 0::BIGINT AS start, node AS goal, round(cost, 6) AS cost FROM {_BFN}", f"pathfinding_{_m}")(
         lambda s, d, m=_m: search.paths(_weighted(s, d), _from_first(s, d), m, tables.embedding_points(s, d).withColumn("cluster_id", F.lit(0).cast("long")) if m == "astar" else None)
         .where("cost is not null").select("start", "goal", *r6("cost"))
     )
@@ -1282,10 +1237,10 @@ def cluster_simplify(s, d):
     return clusters.simplify(_knn_edges(s, d))
 
 
-@query(f"WITH {PTS} SELECT a.id AS target, arg_min(b.dataset_id, ({D2()}, b.id)) AS cluster FROM pts a JOIN pts b ON a.id % 10 = 0 AND b.id % 10 <> 0 GROUP BY a.id")
+@query(f"WITH {PTS}, tg AS (SELECT id, x + 0.1 AS x, y, z FROM pts) SELECT a.id AS target, arg_min(b.dataset_id, ({D2()}, b.id)) AS cluster FROM tg a JOIN pts b ON true GROUP BY a.id")
 def cluster_pick_closest(s, d):
     p = tables.embedding_points(s, d)
-    return clusters.pick_closest(p.where("id % 10 <> 0"), p.where("id % 10 = 0"), "dataset_id")
+    return clusters.pick_closest(p, p.withColumn("x", F.col("x") + 0.1), "dataset_id")
 
 
 @query("WITH m AS (SELECT 0 AS c, s_suppkey AS k FROM supplier UNION ALL SELECT 1, c_custkey FROM customer) SELECT c::BIGINT AS cluster, k, row_number() OVER (ORDER BY c, k) - 1 AS new_id FROM m")

@@ -234,7 +234,7 @@ def test_queries_equal_their_sql(spark, name):
     assert plain(got.select(*names).collect()) == plain([[r[i] for i in place] for r in cursor.fetchall()])
 
 
-WHOLE = ("match_shared_tag_any_whole", "match_shared_tag_all_whole", "match_copy_tags_whole", "match_overlap_whole", "pathfinding_dijkstra_whole", "pathfinding_bidirectional_whole", "pathfinding_astar_whole")
+WHOLE = ("match_shared_tag_any", "match_shared_tag_all", "match_copy_tags", "match_overlap", "pathfinding_dijkstra", "pathfinding_bidirectional", "pathfinding_astar")
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -244,7 +244,7 @@ def test_whole_queries_equal_their_sql(spark, name):
 
 def test_whole_matches_use_every_row(spark):
     folder = "/root/testdata/sf0.001"
-    got = {(r.candidate, r.target) for r in catalog.queries()["match_overlap_whole"](spark, folder).collect()}
+    got = {(r.candidate, r.target) for r in catalog.queries()["match_overlap"](spark, folder).collect()}
     boxes = {}
     for r in spark.read.parquet(f"{folder}/part.parquet").collect():
         boxes.setdefault(f"{r.p_brand} {r.p_type} {r.p_size // 5}", []).append((r.p_size, r.p_retailprice))
@@ -253,7 +253,7 @@ def test_whole_matches_use_every_row(spark):
     tags = {}
     for r in spark.read.parquet(f"{folder}/customer.parquet").collect():
         tags.setdefault(r.c_nationkey * 100 + math.floor(r.c_acctbal / 500) + 2, set()).add(r.c_mktsegment)
-    got = {(r.candidate, r.target) for r in catalog.queries()["match_shared_tag_all_whole"](spark, folder).collect()}
+    got = {(r.candidate, r.target) for r in catalog.queries()["match_shared_tag_all"](spark, folder).collect()}
     assert got == {(a, b) for a in tags for b in tags if tags[a] <= tags[b]}
 
 
