@@ -566,34 +566,38 @@ def collocation_count(s, d):
     return spatial.collocation(tables.embedding_points(s, d), 0.25).select("id", "collocations")
 
 
-def _split(s, d):
+#: Every point samples among all points moved a little, so that none is its own nearest target by identity.
+_TG = f"{PTS}, tg AS (SELECT id, x + 0.05 AS x, y, z FROM pts)"
+
+
+def _targets(s, d):
     p = tables.embedding_points(s, d)
-    return p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumn("v", F.col("id").cast("double"))
+    return p, p.withColumn("x", F.col("x") + 0.05).withColumn("v", F.col("id").cast("double"))
 
 
-@query(f"""WITH {PTS}, n AS (SELECT a.id, sqrt({D2()}) AS dist, 1 - ({D2()}) / 0.25 AS w, b.id::DOUBLE AS v FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.25)
+@query(f"""WITH {_TG}, n AS (SELECT a.id, sqrt({D2()}) AS dist, 1 - ({D2()}) / 0.25 AS w, b.id::DOUBLE AS v FROM pts a JOIN tg b ON {D2()} <= 0.25)
 SELECT p.id, count(n.id) > 0 AS success, count(n.id) AS num_samples, round(coalesce(avg(dist), 0.5), 6) AS distance, round(CASE WHEN sum(w) > 0 THEN sum(w * v) / sum(w) ELSE avg(v) END, 6) AS value
-FROM pts p LEFT JOIN n ON n.id = p.id WHERE p.id % 2 = 0 GROUP BY p.id""")
+FROM pts p LEFT JOIN n ON n.id = p.id GROUP BY p.id""")
 def sample_nearest_point(s, d):
-    a, b = _split(s, d)
+    a, b = _targets(s, d)
     return spatial.sample_within(a, b, "v", 0.5).select("id", "success", "num_samples", *r6("distance", "value"))
 
 
-@query(f"WITH {PTS} SELECT a.id, arg_min(b.id, ({D2()}, b.id)) AS sampled_id, round(sqrt(min({D2()})), 6) AS distance, true AS success FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id")
+@query(f"WITH {_TG} SELECT a.id, arg_min(b.id, ({D2()}, b.id)) AS sampled_id, round(sqrt(min({D2()})), 6) AS distance, true AS success FROM pts a JOIN tg b ON true GROUP BY a.id")
 def sample_closest(s, d):
-    a, b = _split(s, d)
+    a, b = _targets(s, d)
     return spatial.sample_nearest(a, b).select("id", "sampled_id", "success", *r6("distance"))
 
 
-@query(f"WITH {PTS} SELECT a.id, arg_max(b.id, ({D2()}, -b.id)) AS sampled_id, round(sqrt(max({D2()})), 6) AS distance FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.25 GROUP BY a.id")
+@query(f"WITH {_TG} SELECT a.id, arg_max(b.id, ({D2()}, -b.id)) AS sampled_id, round(sqrt(max({D2()})), 6) AS distance FROM pts a JOIN tg b ON {D2()} <= 0.25 GROUP BY a.id")
 def sample_farthest(s, d):
-    a, b = _split(s, d)
+    a, b = _targets(s, d)
     return spatial.sample_farthest(a, b, 0.5).select("id", "sampled_id", *r6("distance"))
 
 
-@query(f"WITH {PTS} SELECT a.id, arg_min(b.id, (b.y, b.id)) AS sampled_id FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.25 GROUP BY a.id")
+@query(f"WITH {_TG} SELECT a.id, arg_min(b.id, (b.y, b.id)) AS sampled_id FROM pts a JOIN tg b ON {D2()} <= 0.25 GROUP BY a.id")
 def sample_best(s, d):
-    a, b = _split(s, d)
+    a, b = _targets(s, d)
     return spatial.sample_best(a, b, 0.5, F.col("r_y"))
 
 
@@ -954,7 +958,8 @@ def bellman_ford(s, d):
     return graph.bellman_ford(e, s.createDataFrame([(0,)], "node long")).select("node", *r6("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KB}, rc AS (SELECT src, dst, length, src AS node FROM ep UNION SELECT r.src, r.dst, r.length, k.other FROM rc r JOIN kb k ON k.node = r.node AND k.length < r.length)
+SELECT src, dst, round(length, 6) AS weight FROM ep e WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.src = e.src AND rc.dst = e.dst AND rc.node = e.dst)""")
 def refine_mst(s, d):
     e = graph.edge_properties(_knn_edges(s, d), tables.embedding_points(s, d)).withColumnRenamed("length", "weight")
     return graph.spanning_forest(e).select("src", "dst", *r6("weight"))
@@ -1033,7 +1038,8 @@ def centrality_betweenness(s, d):
     return search.centrality(_weighted(s, d)).select("node", *r6("betweenness", "closeness", "harmonic"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KB}, rc AS (SELECT src, dst, src AS node FROM ep UNION SELECT r.src, r.dst, k.other FROM rc r JOIN kb k ON k.node = r.node AND NOT (least(k.node, k.other) = r.src AND greatest(k.node, k.other) = r.dst))
+SELECT src, dst FROM ep e WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.src = e.src AND rc.dst = e.dst AND rc.node = e.dst)""")
 def refine_bridges(s, d):
     return search.bridges(_weighted(s, d)).select("src", "dst")
 
@@ -1048,7 +1054,13 @@ def cluster_break_to_paths(s, d):
     return search.break_to_paths(_weighted(s, d)).drop("cluster_id")
 
 
-@query()
+#: A hull's edges: both ends, counter-clockwise, have no point of their dataset to the right, and none beyond them in line.
+_HULL = f"""{PTS}, he AS (SELECT a.dataset_id, a.id AS p, b.id AS q, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM pts a JOIN pts b ON a.dataset_id = b.dataset_id AND a.id <> b.id
+WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.dataset_id = a.dataset_id AND r.id <> a.id AND r.id <> b.id AND (b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) <= 0))"""
+
+
+@query(f"""WITH RECURSIVE {_HULL}, st AS (SELECT dataset_id, arg_min(p, (px, py)) AS p FROM he GROUP BY dataset_id), w AS (SELECT dataset_id, 0::BIGINT AS idx, p AS id FROM st
+UNION ALL SELECT w.dataset_id, w.idx + 1, h.q FROM w JOIN he h ON h.dataset_id = w.dataset_id AND h.p = w.id JOIN st ON st.dataset_id = w.dataset_id WHERE h.q <> st.p) SELECT dataset_id, idx, id FROM w""")
 def convex_hull_2d(s, d):
     return geometry.convex_hull(tables.embedding_points(s, d)).select("dataset_id", "idx", "id")
 
@@ -1097,11 +1109,11 @@ def relax_laplacian(s, d):
     return fields.relax(_knn_edges(s, d), tables.embedding_points(s, d), 1, 0.5).select("id", *r6("x"))
 
 
-_FLOW = f"""WITH {PTS}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.16) SELECT id, round(sum(dx * w), 6) AS vx, count(*) AS pings FROM n GROUP BY id"""
+_FLOW = f"""WITH {_TG}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN tg b ON {D2()} <= 0.16) SELECT id, round(sum(dx * w), 6) AS vx, count(*) AS pings FROM n GROUP BY id"""
 
 
 def _effectors(s, d):
-    a, b = _split(s, d)
+    a, b = _targets(s, d)
     return a, b.withColumn("dx", F.col("y")).withColumn("dy", F.lit(0.0)).withColumn("dz", F.lit(1.0))
 
 
@@ -1144,18 +1156,22 @@ for _name in noise.NOISES:
     query(None, f"noise_{_name}")(lambda s, d, n=_name: tables.embedding_points(s, d).select("id", F.round(noise.noise(n, "x", "y", "z", 3.0), 6).alias("value")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, od AS (SELECT id, x, y, z, row_number() OVER (ORDER BY id) AS o FROM pts), nb AS (SELECT a.id, a.o, list(b.id) FILTER (b.id IS NOT NULL) AS l FROM od a LEFT JOIN od b ON b.o < a.o AND {D2()} <= 0.0625 GROUP BY a.id, a.o),
+st AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS kept UNION ALL SELECT n.o, CASE WHEN list_has_any(st.kept, coalesce(n.l, [])) THEN st.kept ELSE list_append(st.kept, n.id) END FROM st JOIN nb n ON n.o = st.o + 1)
+SELECT unnest(kept) AS id FROM (SELECT arg_max(kept, o) AS kept FROM st)""")
 def self_pruning(s, d):
     return spatial.self_prune(tables.embedding_points(s, d), 0.25, F.col("id")).select("id")
 
 
-@query()
+@query(f"WITH {_HULL} SELECT a.id, h.dataset_id AS path_id FROM pts a JOIN he h ON (h.py > a.y) <> (h.qy > a.y) AND a.x < h.px + (a.y - h.py) * (h.qx - h.px) / (h.qy - h.py) GROUP BY a.id, h.dataset_id HAVING count(*) % 2 = 1")
 def sample_inside_path(s, d):
     p = tables.embedding_points(s, d)
     return paths.inside_path(p, geometry.convex_hull(p).withColumnRenamed("dataset_id", "path_id").withColumn("z", F.lit(0.0)))
 
 
-@query()
+@query(f"""WITH {PTS}, sg AS (SELECT dataset_id AS p, idx, x, y, lead(x) OVER w - x AS ux, lead(y) OVER w - y AS uy FROM pts WINDOW w AS (PARTITION BY dataset_id ORDER BY idx)),
+cr AS (SELECT a.p AS path_id, a.idx, b.p AS r_path_id, b.idx AS r_idx, a.x, a.y, a.ux, a.uy, ((b.x - a.x) * b.uy - (b.y - a.y) * b.ux) / nullif(a.ux * b.uy - a.uy * b.ux, 0) AS alpha, ((b.x - a.x) * a.uy - (b.y - a.y) * a.ux) / nullif(a.ux * b.uy - a.uy * b.ux, 0) AS beta
+FROM sg a JOIN sg b ON a.p < b.p AND a.ux IS NOT NULL AND b.ux IS NOT NULL) SELECT path_id, idx, r_path_id, r_idx, round(alpha, 6) AS alpha, round(x + ux * alpha, 6) AS x, round(y + uy * alpha, 6) AS y FROM cr WHERE alpha BETWEEN 0 AND 1 AND beta BETWEEN 0 AND 1""")
 def path_crossings(s, d):
     p = tables.embedding_points(s, d).withColumnRenamed("dataset_id", "path_id")
     return paths.crossings(p, 0.5).select("path_id", "idx", "r_path_id", "r_idx", *r6("alpha", "x", "y"))
@@ -1249,7 +1265,9 @@ def cluster_merge_vtx(s, d):
     return clusters.merge_vertices([a, b], "k").select(F.col("cluster").cast("long").alias("cluster"), "k", "new_id")
 
 
-@query()
+@query(f"""WITH {_KE}, sg AS (SELECT src, dst, length, src || '-' || dst AS k, p.x, p.y, q.x - p.x AS ux, q.y - p.y AS uy FROM ep JOIN pts p ON p.id = src JOIN pts q ON q.id = dst),
+cr AS (SELECT CASE WHEN a.length >= b.length THEN b.k ELSE a.k END AS k, ((b.x - a.x) * b.uy - (b.y - a.y) * b.ux) / nullif(a.ux * b.uy - a.uy * b.ux, 0) AS alpha, ((b.x - a.x) * a.uy - (b.y - a.y) * a.ux) / nullif(a.ux * b.uy - a.uy * b.ux, 0) AS beta
+FROM sg a JOIN sg b ON a.k < b.k AND a.src <> b.src AND a.dst <> b.dst AND a.src <> b.dst AND a.dst <> b.src) SELECT src, dst FROM sg WHERE k NOT IN (SELECT k FROM cr WHERE alpha BETWEEN 0 AND 1 AND beta BETWEEN 0 AND 1)""")
 def refine_overlap(s, d):
     return clusters.overlap_removal(_knn_edges(s, d), tables.embedding_points(s, d), 0.3).select("src", "dst")
 
@@ -1334,7 +1352,7 @@ def sampler_test_neighbors(s, d):
     return along.test_neighbours(_knn_edges(s, d), v, F.col("value") > 0).select("node", "passing", *r6("share"))
 
 
-@query(f"WITH {PTS}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1 AND {D2()} <= 0.16) SELECT id FROM n GROUP BY id HAVING sum(dx * w) > 0.2")
+@query(f"WITH {_TG}, n AS (SELECT a.id, 1 - ({D2()}) / 0.16 AS w, b.y AS dx FROM pts a JOIN tg b ON {D2()} <= 0.16) SELECT id FROM n GROUP BY id HAVING sum(dx * w) > 0.2")
 def filter_tensor_dot(s, d):
     a, b = _effectors(s, d)
     return fields.sample(a, b, 0.4).where(fields.dot((1.0, 0.0, 0.0)) > 0.2).select("id")
