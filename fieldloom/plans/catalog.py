@@ -1283,32 +1283,32 @@ for _m, _sql in {"weighted": "(a * 2 + b) / 3", "sum": "a * 2 + b", "min": "leas
 
 # --- Along paths -----------------------------------------------------------------------------------------------------
 
-#: Paths of embeddings, a label each, in the order of ids; points are those of other labels' first ten.
-_EPA = f"{PTS}, sg AS (SELECT dataset_id AS path_id, idx, x, y, z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w AS tz, lead(idx) OVER w AS ti FROM pts WINDOW w AS (PARTITION BY dataset_id ORDER BY idx))"
+#: Paths of embeddings, a label each, in the order of ids; points are all of them, moved a little.
+_EPA = f"{_TG}, sg AS (SELECT dataset_id AS path_id, idx, x, y, z, lead(x) OVER w AS tx, lead(y) OVER w AS ty, lead(z) OVER w AS tz, lead(idx) OVER w AS ti FROM pts WINDOW w AS (PARTITION BY dataset_id ORDER BY idx))"
 _PRJ = f"""{_EPA}, dn AS (SELECT *, coalesce(sqrt(pow(tx - x, 2) + pow(ty - y, 2) + pow(tz - z, 2)), 0) AS dn FROM sg), al AS (SELECT *, coalesce(sum(dn) OVER (PARTITION BY path_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ds, sum(dn) OVER (PARTITION BY path_id) AS al FROM dn),
-pr AS (SELECT p.id, s.*, least(greatest(((p.x - s.x) * (tx - s.x) + (p.y - s.y) * (ty - s.y) + (p.z - s.z) * (tz - s.z)) / nullif(dn * dn, 0), 0), 1) AS t, p.x AS px, p.y AS py, p.z AS pz FROM pts p JOIN al s ON tx IS NOT NULL AND p.dataset_id <> '0' AND s.path_id = '0'),
-ds AS (SELECT *, sqrt(pow(x + (tx - x) * t - px, 2) + pow(y + (ty - y) * t - py, 2) + pow(z + (tz - z) * t - pz, 2)) AS d FROM pr), ns AS (SELECT id, arg_min(idx, (d, idx)) AS idx, arg_min(t, (d, idx)) AS t, min(d) AS d, arg_min((ds + t * dn) / al, (d, idx)) AS tm, any_value(px) AS px FROM ds WHERE d <= 0.2 GROUP BY id)"""
+pr AS (SELECT p.id, s.*, least(greatest(((p.x - s.x) * (tx - s.x) + (p.y - s.y) * (ty - s.y) + (p.z - s.z) * (tz - s.z)) / nullif(dn * dn, 0), 0), 1) AS t, p.x AS px, p.y AS py, p.z AS pz FROM tg p JOIN al s ON tx IS NOT NULL),
+ds AS (SELECT *, sqrt(pow(x + (tx - x) * t - px, 2) + pow(y + (ty - y) * t - py, 2) + pow(z + (tz - z) * t - pz, 2)) AS d FROM pr), ns AS (SELECT id, arg_min(path_id, (d, path_id, idx)) AS path_id, arg_min(idx, (d, path_id, idx)) AS idx, arg_min(t, (d, path_id, idx)) AS t, min(d) AS d, arg_min((ds + t * dn) / al, (d, path_id, idx)) AS tm, any_value(px) AS px FROM ds WHERE d <= 0.2 GROUP BY id)"""
 
 
-def _other_path(s, d):
+def _moved_and_paths(s, d):
     p = tables.embedding_points(s, d)
-    return p.where("dataset_id <> '0'"), p.where("dataset_id = '0'").withColumnRenamed("dataset_id", "path_id").drop("id")
+    return p.withColumn("x", F.col("x") + 0.05), p.withColumnRenamed("dataset_id", "path_id").drop("id")
 
 
-@query(f"WITH {_PRJ} SELECT id, idx, round(t, 5) AS t, round(d, 6) AS distance FROM ns")
+@query(f"WITH {_PRJ} SELECT id, path_id, idx, round(t, 5) AS t, round(d, 6) AS distance FROM ns")
 def sample_nearest_path(s, d):
-    return along.nearest_segment(*_other_path(s, d), 0.2).select("id", "idx", F.round("t", 5).alias("t"), *r6("distance"))
+    return along.nearest_segment(*_moved_and_paths(s, d), 0.2).select("id", "path_id", "idx", F.round("t", 5).alias("t"), *r6("distance"))
 
 
 @query(f"WITH {_PRJ} SELECT id FROM ns WHERE tm > 0.5")
 def filter_time(s, d):
-    return along.time_filter(*_other_path(s, d), 0.2, ">", 0.5).select("id")
+    return along.time_filter(*_moved_and_paths(s, d), 0.2, ">", 0.5).select("id")
 
 
-@query(f"WITH {_PRJ} SELECT round(idx + t, 5) AS place, round(px, 6) AS x FROM ns UNION ALL SELECT idx, round(x, 6) FROM pts WHERE dataset_id = '0'")
+@query(f"WITH {_PRJ} SELECT path_id, round(idx + t, 5) AS place, round(px, 6) AS x FROM ns UNION ALL SELECT dataset_id, idx, round(x, 6) FROM pts")
 def path_insert(s, d):
-    p, q = _other_path(s, d)
-    return along.insert(q, p, 0.2).select(F.round("place", 5).alias("place"), *r6("x"))
+    p, q = _moved_and_paths(s, d)
+    return along.insert(q, p, 0.2).select("path_id", F.round("place", 5).alias("place"), *r6("x"))
 
 
 @query(f"""WITH {EVT}, n AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b_y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM evt {_WP}), f AS (SELECT *, sqrt(pow(bx - x, 2) + pow(b_y - y, 2)) AS fb, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS fn FROM n)
