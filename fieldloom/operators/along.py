@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compare import numeric
+from .blocks import meet, nearest_segments
 from .graph import components
 from .paths import XYZ, neighbour, properties, size
 from .rangejoin import within_radius
@@ -22,22 +23,16 @@ def nearest_segment(points: DataFrame, path: DataFrame, radius: float, key: str
     """(key, path_id, idx, t, distance, time): of the segments within a radius of each point, the nearest (ties to the
     smaller path and index), where on it, and the share of the path's length there.
 
-    Segments are dealt to the grid cells, as wide as the radius, that their boxes touch once widened by it.
+    No rows are made for pairs: each block of points keeps the nearest segment of each block of segments.
     """
-    s = _long_segments(path, closed).select(F.col("path_id"), F.col("idx").alias("s_idx"), *[F.col(c).alias(f"s_{c}") for c in (*XYZ, "to_x", "to_y", "to_z")], "distance_to_start", "distance_to_next", "path_length")
-    p = points.select(key, *XYZ)
-    for a in XYZ:
-        lo, hi = F.floor(F.least(f"s_{a}", f"s_to_{a}") / radius) - 1, F.floor(F.greatest(f"s_{a}", f"s_to_{a}") / radius) + 1
-        s = s.withColumn(f"__{a}", F.explode(F.sequence(lo, hi)))
-        p = p.withColumn(f"__{a}", F.floor(F.col(a) / radius))
-    x = p.join(s, [f"__{a}" for a in XYZ]).drop(*[f"__{a}" for a in XYZ])
-    d = [F.col(f"s_to_{a}") - F.col(f"s_{a}") for a in XYZ]
-    along = sum(((F.col(a) - F.col(f"s_{a}")) * v for a, v in zip(XYZ, d)), F.lit(0.0)) / F.nullif(sum((v * v for v in d), F.lit(0.0)), F.lit(0.0))
-    x = x.withColumn("t", F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
-    gap = [F.col(f"s_{a}") + v * F.col("t") - F.col(a) for a, v in zip(XYZ, d)]
-    x = x.withColumn("distance", size(gap)).where(F.col("distance") <= radius)
-    time = F.coalesce((F.col("distance_to_start") + F.col("t") * F.col("distance_to_next")) / F.nullif("path_length", F.lit(0.0)), F.lit(0.0))
-    best = F.min_by(F.struct("path_id", F.col("s_idx").alias("idx"), "t", "distance", time.alias("time")), F.struct("distance", "path_id", "s_idx"))
+    s = _long_segments(path, closed)
+    s = s.select([F.col(c).alias(f"r_{c}") for c in s.columns])
+    kind = s.schema["r_path_id"].dataType.simpleString()
+    middle = [(F.col(f"r_{a}") + F.col(f"r_to_{a}")) / 2 for a in XYZ]
+    form = f"{key} {points.schema[key].dataType.simpleString()}, r_path_id {kind}, r_idx long, r_distance_to_start double, r_distance_to_next double, r_path_length double, t double, distance double"
+    x = meet(points.select(key, *XYZ), s.withColumn("r_idx", F.col("r_idx").cast("long")), nearest_segments(radius, key), form, key, "r_idx", at=middle)
+    time = F.coalesce((F.col("r_distance_to_start") + F.col("t") * F.col("r_distance_to_next")) / F.nullif("r_path_length", F.lit(0.0)), F.lit(0.0))
+    best = F.min_by(F.struct(F.col("r_path_id").alias("path_id"), F.col("r_idx").alias("idx"), "t", "distance", time.alias("time")), F.struct("distance", "r_path_id", "r_idx"))
     return x.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
