@@ -54,3 +54,15 @@ def test_nearest_segment_makes_no_pairs(cloud, places):
     got = {r.id: r for r in x.collect()}
     assert got.keys() == places.keys()
     assert all((r.path_id, r.idx) == places[i][1:3] and abs(r.distance - places[i][0]) < 1e-9 for i, r in got.items())
+
+
+def test_time_filter_reads_the_nearest_place(cloud, places):
+    p = cloud[0]
+    length, start = {}, {}
+    for path, k, a, b in segments(p):
+        start[path, k] = length.get(path, 0.0)
+        length[path] = length.get(path, 0.0) + np.linalg.norm(b - a)
+    want = {i for i, (_, path, k, t) in places.items() if (start[path, k] + t * np.linalg.norm(segments(p)[k * 7 + path][3] - segments(p)[k * 7 + path][2])) / length[path] > 0.5}
+    x = along.time_filter(*moved(cloud[1]), 0.1, ">", 0.5)
+    assert joins(x) == 1  # back to the points
+    assert {r.id for r in x.collect()} == want
