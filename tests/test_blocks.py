@@ -66,3 +66,12 @@ def test_time_filter_reads_the_nearest_place(cloud, places):
     x = along.time_filter(*moved(cloud[1]), 0.1, ">", 0.5)
     assert joins(x) == 1  # back to the points
     assert {r.id for r in x.collect()} == want
+
+
+def test_insert_puts_every_point_in_reach(cloud, places):
+    points, path = moved(cloud[1])
+    x = along.insert(path, points, 0.1)
+    assert joins(x) == 1  # back to the points
+    got = sorted((r.path_id, round(r.place, 6)) for r in x.collect())
+    want = [(i % 7, float(i // 7)) for i in range(len(cloud[0]))] + [(path, k + t) for _, path, k, t in places.values()]
+    assert np.allclose(got, sorted((a, round(b, 6)) for a, b in want), atol=1e-5)
