@@ -85,3 +85,13 @@ def test_best_and_farthest_targets_make_no_pairs(cloud):
     near = [np.flatnonzero(d <= RADIUS * RADIUS) for d in d2]
     assert {r.id: r.sampled_id for r in x.collect()} == {i: min(n, key=lambda j: (p[j, 1], j)) for i, n in enumerate(near)}
     assert {r.id: r.sampled_id for r in y.collect()} == {i: min(n, key=lambda j: (-d2[i, j], j)) for i, n in enumerate(near)}
+
+
+def test_self_prune_decides_dense_points_in_blocks(cloud):
+    p, df = cloud
+    stay = []
+    for i in range(len(p)):
+        if all(((p[i] - p[j]) ** 2).sum() > 0.04 for j in stay):
+            stay.append(i)
+    assert spatial.greedy(p, 0.2) == stay
+    assert sorted(r.id for r in spatial.self_prune(df, 0.2, F.col("id"), block=60).collect()) == stay
