@@ -95,3 +95,28 @@ def test_self_prune_decides_dense_points_in_blocks(cloud):
             stay.append(i)
     assert spatial.greedy(p, 0.2) == stay
     assert sorted(r.id for r in spatial.self_prune(df, 0.2, F.col("id"), block=60).collect()) == stay
+
+
+def test_probes_make_no_pairs(cloud):
+    p, df = cloud
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    n = range(len(p))
+    x = probes.closest(df, 3, RADIUS)
+    assert joins(x) == 0
+    want = {(min(i, j), max(i, j)) for i in n for j in sorted((j for j in n if j != i and d2[i, j] <= RADIUS * RADIUS), key=lambda j: (d2[i, j], j))[:3]}
+    assert {tuple(r) for r in x.collect()} == want
+    x = probes.gradient_flow(df.withColumn("v", F.col("z")), "v", RADIUS)
+    assert joins(x) == 0
+    up = {i: [j for j in n if d2[i, j] <= RADIUS * RADIUS and p[j, 2] > p[i, 2]] for i in n}
+    assert {r.src: r.dst for r in x.collect()} == {i: min(u, key=lambda j: (p[i, 2] - p[j, 2], j)) for i, u in up.items() if u}
+
+
+def test_dbscan_shuffles_no_edge(cloud):
+    p, df = cloud
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= 0.04
+    np.fill_diagonal(near, False)
+    core = near.sum(1) >= 4
+    want = {(i, j) for i in range(len(p)) for j in range(i + 1, len(p)) if near[i, j] and core[i] and core[j]}
+    got = [tuple(r) for r in probes.dbscan(df, 0.2, 4).collect()]
+    assert len(got) == len(set(got)) and want == {(i, j) for i, j in got if core[i] and core[j]}
+    assert {k for e in got for k in e if not core[k]} == {i for i in range(len(p)) if not core[i] and near[i][core].any()}
