@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -52,8 +54,11 @@ def collapse(links: dict, tiles: int, allowed: np.ndarray, seed: int, tries: int
     for _ in range(tries):
         left = {n: np.ones(tiles, bool) for n in links}
         chosen: dict = {}
+        heap = [(tiles, n) for n in sorted(links)]  # a node's newest entry is its least; older ones are passed over
         while len(chosen) < len(links):
-            n = min((n for n in links if n not in chosen), key=lambda n: (left[n].sum(), n))
+            n = heapq.heappop(heap)[1]
+            if n in chosen:
+                continue
             options = np.flatnonzero(left[n])
             if not len(options):
                 break
@@ -66,6 +71,8 @@ def collapse(links: dict, tiles: int, allowed: np.ndarray, seed: int, tries: int
                     now = left[b] & allowed[left[a]].any(0)
                     if (now != left[b]).any():
                         left[b] = now
+                        if b not in chosen:
+                            heapq.heappush(heap, (int(now.sum()), b))
                         todo.append(b)
         else:
             return chosen
