@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 
 def guillotine(items: list[tuple], bin_size: tuple[float, float, float]) -> list[tuple]:
     """(id, bin, x, y, z) of boxes (id, sx, sy, sz), largest first, each into the tightest free space of the first bin that
-    has one; the rest of the space is cut in three. Boxes that fit no bin get bin -1."""
+    has one; the rest of the space is cut in three. Boxes that fit no bin get bin -1.
+
+    Free space only shrinks, so a bin that has no room for a size never has again: each size goes on from the bin that
+    took its last box."""
     bins: list[list] = []
+    start: dict = {}
     out = []
     for item in sorted(items, key=lambda i: (-i[1] * i[2] * i[3], i[0])):
         name, size = item[0], item[1:]
         if any(s > b for s, b in zip(size, bin_size)):
             out.append((name, -1, 0.0, 0.0, 0.0))
             continue
-        for k in range(len(bins) + 1):
+        for k in range(start.get(size, 0), len(bins) + 1):
             if k == len(bins):
                 bins.append([((0.0, 0.0, 0.0), tuple(bin_size))])
             fits = [(f[1][0] * f[1][1] * f[1][2], f) for f in bins[k] if all(s <= b + 1e-9 for s, b in zip(size, f[1]))]
@@ -29,6 +33,7 @@ def guillotine(items: list[tuple], bin_size: tuple[float, float, float]) -> list
                 for p, r in (((x + sx, y, z), (rx - sx, ry, rz)), ((x, y + sy, z), (sx, ry - sy, rz)), ((x, y, z + sz), (sx, sy, rz - sz))):
                     if min(r) > 1e-9:
                         bins[k].append((p, r))
+                start[size] = k
                 out.append((name, k, x, y, z))
                 break
     return out
