@@ -34,6 +34,7 @@ def delaunay(xy: np.ndarray) -> list:
     """Triangles (counter-clockwise indices) of the points' Delaunay triangulation, by insertion into a large triangle.
 
     The triangles whose circle holds a new point are found by one vectorised test; their rim is joined to the point.
+    Points come from left to right, so a triangle whose circle ends left of the newest is done and is tested no more.
     """
     n = len(xy)
     if n < 3:
@@ -52,12 +53,14 @@ def delaunay(xy: np.ndarray) -> list:
         return a + u, (u**2).sum(1)
 
     centre, r2 = circle(tri)
+    age, made, done = np.zeros(1, np.int64), 1, []
     seen = set()
     for i in np.lexsort((xy[:, 1], xy[:, 0])):
         if tuple(xy[i]) in seen:
             continue
         seen.add(tuple(xy[i]))
-        bad = ((centre - xy[i]) ** 2).sum(1) < r2 * (1 - 1e-12)
+        way = centre - xy[i]
+        bad = (way**2).sum(1) < r2 * (1 - 1e-12)
         rim: dict = {}
         for t in tri[bad]:
             for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
@@ -67,8 +70,13 @@ def delaunay(xy: np.ndarray) -> list:
                     rim[(a, b)] = True
         new = np.array([[a, b, i] for a, b in rim], dtype=np.int64).reshape(-1, 3)
         c, r = circle(new)
-        tri, centre, r2 = np.vstack([tri[~bad], new]), np.vstack([centre[~bad], c]), np.r_[r2[~bad], r]
-    return [tuple(int(v) for v in t) for t in tri if max(t) < n]
+        past = (way[:, 0] < 0) & (way[:, 0] ** 2 >= r2 * (1 - 1e-12))
+        done += zip(age[past].tolist(), map(tuple, tri[past].tolist()))
+        stay = ~(bad | past)
+        tri, centre, r2 = np.vstack([tri[stay], new]), np.vstack([centre[stay], c]), np.r_[r2[stay], r]
+        age, made = np.r_[age[stay], np.arange(made, made + len(new))], made + len(new)
+    done += zip(age.tolist(), map(tuple, tri.tolist()))
+    return [t for _, t in sorted(done) if max(t) < n]
 
 
 def area(ring: list) -> float:
