@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rangejoin import within_radius
+from . import blocks
 
 XYZ = ("x", "y", "z")
 
@@ -16,20 +16,12 @@ def sample(points: DataFrame, effectors: DataFrame, radius: float, kind: str = "
     flow: the effector's own direction (dx, dy, dz); pole: toward the effector; spin: about its direction. Points
     without effectors are absent.
     """
-    near = within_radius(points.select(key, *XYZ), effectors.select(*XYZ, "dx", "dy", "dz"), radius)
-    w = 1 - F.col("d2") / (radius * radius)
-    away = [F.col(f"r_{a}") - F.col(a) for a in XYZ]
-    d = [F.col(f"r_d{a}") for a in XYZ]
-    if kind == "flow":
-        v = d
-    elif kind == "pole":
-        size = F.nullif(F.sqrt("d2"), F.lit(0.0))
-        v = [F.coalesce(p / size, F.lit(0.0)) for p in away]
-    elif kind == "spin":
-        v = [d[1] * away[2] - d[2] * away[1], d[2] * away[0] - d[0] * away[2], d[0] * away[1] - d[1] * away[0]]
-    else:
+    if kind not in ("flow", "pole", "spin"):
         raise ValueError(f"no tensor {kind!r}")
-    return near.groupBy(key).agg(*[F.sum(p * w).alias(f"v{a}") for p, a in zip(v, XYZ)], F.count(F.lit(1)).alias("pings"))
+    e = effectors.select(*XYZ, *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in XYZ])
+    form = f"{key} {points.schema[key].dataType.simpleString()}, pings long, vx double, vy double, vz double"
+    got = blocks.meet(points.select(key, *XYZ), blocks.right(e), blocks.directions(radius, key, kind), form, key, "r_x")
+    return got.groupBy(key).agg(*[F.sum(f"v{a}").alias(f"v{a}") for a in XYZ], F.sum("pings").alias("pings"))
 
 
 def constant(df: DataFrame, way: tuple[float, float, float]) -> DataFrame:

@@ -4,8 +4,10 @@ import heapq
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from fieldloom.operators import geometry, packing, search
+from fieldloom.operators import along, blocks, clusters, fields, geometry, graph, matching, packing, paths, probes, rangejoin, search, spatial
 
 
 def plain_spanner(xyz, stretch):
@@ -60,3 +62,120 @@ def test_packing_asks_no_full_bin_twice():
     got = packing.guillotine(items, (60.0, 40.0, 40.0))
     assert len(got) == 1500 and max(k for _, k, *_ in got) > 150
     assert len(asked) < 60 * 1500
+
+
+RADIUS = 0.4
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    p = np.random.default_rng(8).normal(size=(260, 3)) * 0.3
+    p[200:230] = p[:30]
+    rows = [(i % 7, i // 7, i, *map(float, q), float(i) if i % 9 else None) for i, q in enumerate(p)]
+    return p, spark.createDataFrame(rows, "dataset_id long, idx long, id long, x double, y double, z double, v double")
+
+
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 90)
+    monkeypatch.setattr(blocks, "MOST", 150)
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_nearest_makes_no_pairs(cloud):
+    p, df = cloud
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    x = rangejoin.nearest(df.select("id", "x", "y", "z"), df, 3, skip_self=True)
+    assert joins(x) == 0
+    got = {(r.id, r["rank"]): (r.r_id, r.r_v) for r in x.collect()}
+    want = {(i, k + 1): int(j) for i in range(len(p)) for k, j in enumerate(sorted(range(len(p)), key=lambda j: (d2[i, j], j))[:3])}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(v == (float(j) if j % 9 else None) for j, v in got.values())
+
+
+@pytest.mark.parametrize("kind", ["flow", "pole", "spin"])
+def test_tensors_make_no_pairs(cloud, kind):
+    p, df = cloud
+    e = df.select("x", "y", "z", F.col("v").alias("dx"), F.when(F.col("id") == 5, float("nan")).otherwise(F.col("y")).alias("dy"), F.lit(1.0).alias("dz"))
+    x = fields.sample(df, e, RADIUS, kind)
+    assert joins(x) == 0
+    near = rangejoin.within_radius(df.select("id", "x", "y", "z"), e, RADIUS)
+    w, away = 1 - F.col("d2") / (RADIUS * RADIUS), [F.col(f"r_{a}") - F.col(a) for a in "xyz"]
+    d, size = [F.col(f"r_d{a}") for a in "xyz"], F.nullif(F.sqrt("d2"), F.lit(0.0))
+    v = {"flow": d, "pole": [F.coalesce(a / size, F.lit(0.0)) for a in away], "spin": [d[i] * away[j] - d[j] * away[i] for i, j in ((1, 2), (2, 0), (0, 1))]}[kind]
+    want = {r.id: r for r in near.groupBy("id").agg(*[F.sum(a * w).alias(f"v{n}") for n, a in zip("xyz", v)], F.count(F.lit(1)).alias("pings")).collect()}
+    got = {r.id: r for r in x.collect()}
+    assert got.keys() == want.keys() and all(got[i].pings == r.pings for i, r in want.items())
+    for i, r in want.items():
+        for n in ("vx", "vy", "vz"):
+            assert (got[i][n] is None) == (r[n] is None) and (r[n] is None or np.isclose(got[i][n], r[n], rtol=1e-9, atol=1e-9, equal_nan=True))
+
+
+def test_sample_within_makes_no_pairs(cloud):
+    p, df = cloud
+    x = spatial.sample_within(df, df, "v", RADIUS, low=0.05, skip_self=True)
+    assert joins(x) == 1  # back to the points
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    for r in x.collect():
+        near = [j for j in range(len(p)) if j != r.id and 0.0025 <= d2[r.id, j] <= RADIUS * RADIUS]
+        assert (r.success, r.num_samples) == (bool(near), len(near))
+        if near:
+            w = 1 - d2[r.id, near] / (RADIUS * RADIUS)
+            have = [k for k, j in enumerate(near) if j % 9]
+            assert np.isclose(r.distance, np.sqrt(d2[r.id, near]).mean())
+            assert r.value is None if not have else np.isclose(r.value, sum(w[k] * near[k] for k in have) / w.sum())
+
+
+def test_crossings_and_overlaps_make_no_pairs(cloud):
+    p, df = cloud
+    s = [(i % 7, i // 7, p[i], p[i + 7]) for i in range(len(p) - 7)]
+    want = set()
+    for a, i, o, e in s:
+        for b, j, q, f in s:
+            u, v, w = e - o, f - q, q - o
+            det = u[0] * v[1] - u[1] * v[0]
+            if a < b and det and 0 <= (w[0] * v[1] - w[1] * v[0]) / det <= 1 and 0 <= (w[0] * u[1] - w[1] * u[0]) / det <= 1:
+                want.add((a, i, b, j))
+    x = paths.crossings(df.withColumnRenamed("dataset_id", "path_id"), 0.5)
+    assert joins(x) == 0
+    got = [(r.path_id, r.idx, r.r_path_id, r.r_idx) for r in x.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stitch_shares_the_least_path(cloud):
+    p, df = cloud
+    x = df.withColumn("path_id", F.floor(F.col("id") / 4)).withColumn("idx", F.col("id") % 4)
+    ends = {i: p[[4 * i, 4 * i + 3]] for i in range(65)}
+    least = {i: i for i in ends}
+    for _ in ends:
+        for i in ends:
+            for j in ends:
+                if ((ends[i][:, None] - ends[j][None]) ** 2).sum(2).min() <= 0.04:
+                    least[i] = least[j] = min(least[i], least[j])
+    assert {r.path_id: r.stitched_id for r in along.stitch(x, 0.2).collect()} == least
+    links = blocks.meet(df, blocks.right(df), blocks.forest(5.0, "id", "r_id"), "src long, dst long")
+    assert links.count() < 6 * 300  # not 260 x 260
+
+
+def test_connect_takes_the_shortest_edge_of_each_component(cloud):
+    p, df = cloud
+    df, p = df.where("id < 120"), p[:120]
+    e = probes.knn(df, 1)
+    comp = {r.node: r.component for r in graph.components(e).collect()}
+    want = {tuple(r) for r in e.collect()}
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    for c in set(comp.values()):
+        want.add(min((d2[i, j], min(i, j), max(i, j)) for i in comp for j in comp if comp[i] == c != comp[j])[1:])
+    assert {tuple(r) for r in clusters.connect(e, df).collect()} == want
+
+
+def test_match_values_compares_distinct_values(spark):
+    c = spark.createDataFrame([(i, {"n": str(i % 9)} if i % 4 else {"n": "none"}) for i in range(60)], "dataset_id long, m map<string,string>")
+    t = spark.createDataFrame([(i, i % 5 if i % 7 else None) for i in range(50)], "k long, need long")
+    got = [tuple(r) for r in matching.match_values(c, t, F.try_element_at("m", F.lit("n")), ">", "need", target_key="k").collect()]
+    want = [(i, j) for i in range(60) for j in range(50) if i % 4 and j % 7 and i % 9 > j % 5]
+    assert sorted(got) == sorted(want)
