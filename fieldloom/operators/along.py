@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compare import numeric
-from .blocks import meet, nearest_segments
+from .blocks import forest, meet, nearest_segments, right
 from .graph import components
 from .paths import XYZ, neighbour, properties, size
-from .rangejoin import within_radius
 
 
 def _long_segments(path: DataFrame, closed: bool) -> DataFrame:
@@ -68,10 +67,12 @@ def bevel(df: DataFrame, width: float, closed: bool = False) -> DataFrame:
 
 
 def stitch(df: DataFrame, tolerance: float) -> DataFrame:
-    """(path_id, stitched_id): paths whose ends lie within a tolerance of each other share the least path's id."""
+    """(path_id, stitched_id): paths whose ends lie within a tolerance of each other share the least path's id. Each pair of
+    blocks of ends gives as few links as join its paths."""
     ends = df.groupBy("path_id").agg(*[f(F.struct("idx", *XYZ)).alias(n) for n, f in (("a", F.min), ("b", F.max))])
     p = ends.select("path_id", F.explode(F.array("a", "b")).alias("e")).select("path_id", *[F.col(f"e.{a}").alias(a) for a in XYZ])
-    near = within_radius(p, p, tolerance).where(F.col("path_id") < F.col("r_path_id")).select(F.col("path_id").alias("src"), F.col("r_path_id").alias("dst")).distinct()
+    kind = p.schema["path_id"].dataType.simpleString()
+    near = meet(p, right(p), forest(tolerance, "path_id", "r_path_id"), f"src {kind}, dst {kind}", "path_id", "r_path_id")
     return ends.select("path_id").join(components(near).withColumnRenamed("node", "path_id"), "path_id", "left").select("path_id", F.coalesce("component", "path_id").alias("stitched_id"))
 
 
