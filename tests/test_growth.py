@@ -179,3 +179,23 @@ def test_match_values_compares_distinct_values(spark):
     got = [tuple(r) for r in matching.match_values(c, t, F.try_element_at("m", F.lit("n")), ">", "need", target_key="k").collect()]
     want = [(i, j) for i in range(60) for j in range(50) if i % 4 and j % 7 and i % 9 > j % 5]
     assert sorted(got) == sorted(want)
+
+
+def test_cones_compare_few_targets(monkeypatch):
+    import pyarrow as pa
+
+    n, seen, plain = 4000, [], np.arctan2
+    monkeypatch.setattr(blocks.np, "arctan2", lambda y, x: seen.append(y.size) or plain(y, x))
+    p = np.random.default_rng(6).normal(size=(n, 3)) * 0.13
+    one, two = (pa.table({f"{s}id": np.arange(n), **{f"{s}{a}": v for a, v in zip("xyz", p.T)}}) for s in ("", "r_"))
+    got = {(i, c): (s, j) for out in blocks.coned(6, 0.5, False, "id", "r_id")(one, two) for i, j, c, s in zip(out["id"].to_pylist(), out["r_id"].to_pylist(), out["cone"].tolist(), out["score"].tolist())}
+    assert sum(seen) < 200 * n  # some 1,200 a point when targets came in rings
+    for i in range(0, n, 97):
+        d = p - p[i]
+        cone = np.mod(np.floor(plain(d[:, 1], d[:, 0]) / (2 * math.pi) * 6), 6)
+        for c in range(6):
+            near = np.flatnonzero((cone == c) & ((d * d).sum(1) <= 0.25) & (np.arange(n) != i))
+            assert ((i, c) in got) == bool(len(near))
+            if len(near):
+                m = (c + 0.5) * (2 * math.pi / 6)
+                assert got[i, c][1] == near[(d[near, 0] * math.cos(m) + d[near, 1] * math.sin(m)).argmin()]
