@@ -199,3 +199,12 @@ def test_cones_compare_few_targets(monkeypatch):
             if len(near):
                 m = (c + 0.5) * (2 * math.pi / 6)
                 assert got[i, c][1] == near[(d[near, 0] * math.cos(m) + d[near, 1] * math.sin(m)).argmin()]
+
+
+def test_block_numbers_compute_a_place_once(spark):
+    p = spark.range(4000).select("id", *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+    x = blocks._blocked(p, [F.col(a) for a in "xyz"], "id", 8, [(0.0, 1.0)] * 3, "b")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[plan.index("filter(") :]  # cuts are compared with a variable
+    n = [r["count"] for r in x.groupBy("b").count().collect()]
+    assert len(n) == 8 and max(n) < 700
