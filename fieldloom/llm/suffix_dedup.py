@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE_CODE, mix, powers, slices, text_buffer
 
 LENGTH, GRAM, HOT = 200, 64, 20_000
-SLICE = 1 << 20
+#: Bytes worked on at once: a slice's windows take some hundred times as many.
+SLICE = 1 << 18
 #: Bits of a composite minimum that hold the place within a slice; the rest are of the hash.
 PLACE = np.uint64(27)
 BASES = (BASE, np.uint64(0xD1342543DE82EF95))
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.cumsum(gone[:n]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 begins = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((n, int(gone.sum()), begins, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((n, int(gone.sum()), begins, hashlib.sha256(kept).hexdigest(), kept if kept_text else None))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column("k1"), b.column("k2"), *[pa.array(cols[k], pa.int64()) for k in range(3)], pa.array(cols[3], pa.string())] + [pa.array(cols[4], pa.binary())] * kept_text, names

@@ -248,3 +248,46 @@ def test_near_links_are_verified_on_the_texts(texts):
     near = {(i, j): 1 - plain_distance(values[i], values[j]) / max(len(values[i]), len(values[j])) for i in range(1, 5) for j in range(i)}
     assert all(abs(v - near[k]) < 1e-9 and v >= 0.8 for k, v in got.items())
     assert joined(5, got) == joined(5, [k for k, v in near.items() if v >= 0.8 - 1e-9])
+
+
+class Rows:
+    """Stands for a DataFrame whose batches a test passes to the function of mapInArrow itself."""
+
+    def __init__(self):
+        self.sparkSession = type("S", (), {"conf": {"spark.sql.shuffle.partitions": "4"}})
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_windows_are_refined_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldloom.llm import suffix_dedup
+
+    rng = np.random.default_rng(4)
+    n, each = 9000, 336
+    raw = rng.integers(97, 123, (n, each), dtype=np.uint8)
+    raw[1::2] = raw[::2]  # each bucket has two places, equal throughout
+    bucket, place = np.arange(n) // 2, np.arange(n)
+    lo = np.zeros(n, np.int32)
+    b = pa.RecordBatch.from_arrays(
+        [pa.array(bucket), pa.array(lo), pa.array(lo > 0), pa.array(place), pa.array(place), pa.array(lo + 136), pa.array(lo), pa.array(lo + each - 200), pa.array([r.tobytes() for r in raw], pa.binary())],
+        ["h", "part", "big", "k1", "k2", "pos", "lo", "hi", "bytes"],
+    )
+    run = suffix_dedup.repeated_windows(Rows(), 200, 64)
+    list(run(iter([b.slice(0, 10)])))
+    tracemalloc.start()
+    got = [r for out in run(iter([b])) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((r["k1"], r["first"], r["last"]) for r in got) == [(i, 0, 136) for i in range(n)]
+    assert peak < 110e6, peak
