@@ -31,7 +31,7 @@ from .components import connected_components
 
 #: Slots of the sketch (fixed), and of a part of it.
 SLOTS, PART = 1 << 22, 1 << 16
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Bits of a hash that name its slot, and its place behind the six bits of a token's level.
 SLOT_BITS = 22
 #: 64-bit words of a set's parity sketch.

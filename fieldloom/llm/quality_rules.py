@@ -16,6 +16,8 @@ STATISTICS = (
 )
 #: Rows that training takes at most: the bound of the driver's sample.
 MAX_TRAINING_ROWS = 20_000
+#: Bytes of text worked on at once.
+SLICE = 1 << 18
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -81,7 +83,7 @@ def statistics(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
         import pyarrow as pa
 
         for b in batches:
-            for i, j in slices(b.column(own), 4 << 20):
+            for i, j in slices(b.column(own), SLICE):
                 part = b.slice(i, j - i)
                 values = statistics_batch(part.column(own))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], *[pa.array(v) for v in values.T]], names)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffer
-from .token_counts import SLICE, distinct_chunks
+from .token_counts import distinct_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Bytes of text worked on at once.
+SLICE = 1 << 20
 #: An unknown character scores this much below the least piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

@@ -169,3 +169,28 @@ def test_round_trip(model, texts, some):
 def test_decode_of_any_ids(model):
     ids = np.array([0, 1, 2, model.byte_ids[0xFF], model.byte_ids[0x41]], np.int32)
     assert unigram.decode_batch(model, ids, np.array([0, 1, 3, 5, 5])) == [b"\xe2\x81\x87 ", b"", "�A".encode(), b""]
+
+
+def test_statistics_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        schema = {"text": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self=None: "string"})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [" ".join(f"word{(i * k) % 977}" for k in range(400)) for i in range(2000)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    run = quality_rules.statistics(Docs(), "text", ("text",))
+    tracemalloc.start()
+    got = sum(out.num_rows for out in run(iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(texts)
+    assert peak < 30e6, peak
