@@ -120,3 +120,13 @@ def test_dbscan_shuffles_no_edge(cloud):
     got = [tuple(r) for r in probes.dbscan(df, 0.2, 4).collect()]
     assert len(got) == len(set(got)) and want == {(i, j) for i, j in got if core[i] and core[j]}
     assert {k for e in got for k in e if not core[k]} == {i for i in range(len(p)) if not core[i] and near[i][core].any()}
+
+
+def test_copies_of_blocks_grow_no_faster_than_rows(monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 512)
+    monkeypatch.setattr(blocks, "MOST", 131072)
+    copies = lambda n: sum(n * k for k in blocks.dealt(n, n))
+    assert copies(600_000) < 6 * copies(100_000) / 2
+    for n in (0, 1, 600, 100_000, 600_000, 5_000_000):
+        a, b = blocks.dealt(n, n)
+        assert a >= 1 <= b and max(-(-n // a), -(-n // b)) <= 131072
