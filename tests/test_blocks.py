@@ -130,3 +130,13 @@ def test_copies_of_blocks_grow_no_faster_than_rows(monkeypatch):
     for n in (0, 1, 600, 100_000, 600_000, 5_000_000):
         a, b = blocks.dealt(n, n)
         assert a >= 1 <= b and max(-(-n // a), -(-n // b)) <= 131072
+
+
+def test_overlaps_are_counted_once(cloud):
+    p, df = cloud
+    box = df.select("dataset_id", "id", *[(F.col(a) + k).alias(f"{n}{a}") for a in "xyz" for n, k in (("l", -0.1), ("h", 0.1))])
+    x = spatial.overlap_stats(box)
+    assert "InArrow" not in x._jdf.queryExecution().optimizedPlan().toString()
+    lo, hi, set_ = p - 0.1, p + 0.1, np.arange(len(p)) % 7
+    n = ((lo[:, None] <= hi[None]) & (hi[:, None] >= lo[None])).all(2) & (set_[:, None] != set_[None])
+    assert {r.id: r.overlap_count for r in x.collect()} == dict(enumerate(n.sum(1).tolist()))
