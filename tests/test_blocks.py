@@ -1,6 +1,7 @@
 """Kernels of blocks against every pair, and plans without rows for pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,23 @@ def test_copies_of_blocks_grow_no_faster_than_rows(monkeypatch):
         assert a >= 1 <= b and max(-(-n // a), -(-n // b)) <= 131072
 
 
+@pytest.mark.parametrize("v", [False, True])
+def test_pairs_in_reach_of_a_box_are_not_compared(monkeypatch, v):
+    p = np.random.default_rng(4).normal(size=(3000, 3)) * 0.05
+    p[1000:1100] = p[:100]
+    keys = np.random.default_rng(5).permutation(3000)
+    compared, square = [], blocks.square
+    monkeypatch.setattr(blocks, "square", lambda a, b: compared.append(a.shape[1] * b.shape[1]) or square(a, b))
+    one, two = (pa.table({f"{r}{n}": x for n, x in (("id", keys), *zip("xyz", p.T), ("__v", p[:, 2]))}) for r in ("", "r_"))
+    got = [e for out in blocks.paired(0.2, "id", "r_id", v, 0.05)(one, two) for e in zip(out["src"].to_pylist(), out["dst"].to_pylist())]
+    ok = square(p.T, p.T) <= 0.2 * 0.2
+    if v:
+        ok &= np.abs(p[:, 2][None, :] - p[:, 2][:, None]) <= 0.05
+    i, j = np.nonzero(ok & (keys[:, None] < keys[None, :]))
+    assert len(got) == len(set(got)) and set(got) == set(zip(keys[i].tolist(), keys[j].tolist()))
+    assert sum(compared) < 0.5 * 3000 * 3000
+
+
 def test_overlaps_are_counted_once(cloud):
     p, df = cloud
     box = df.select("dataset_id", "id", *[(F.col(a) + k).alias(f"{n}{a}") for a in "xyz" for n, k in (("l", -0.1), ("h", 0.1))])
