@@ -208,3 +208,17 @@ def test_block_numbers_compute_a_place_once(spark):
     assert "md5" not in plan[plan.index("filter(") :]  # cuts are compared with a variable
     n = [r["count"] for r in x.groupBy("b").count().collect()]
     assert len(n) == 8 and max(n) < 700
+
+
+def test_costs_of_few_links_take_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(rng.integers(0, 60, 90), rng.integers(0, 60, 90), rng.choice([0.0, 0.1, 0.7, 2.3], 90))]
+    rows += [(f"c{i}", f"c{i + 1}", 1.0) for i in range(40)] + [("n0", "c0", 0.3), ("n1", None, 1.0), ("u", "v", 1.0)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight double")
+    start = spark.createDataFrame([("n0",), ("n3",), ("alone",)], "node string")
+    settled, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: settled.append(1) or settle(df))
+    got = {r.node: r.cost for r in graph.bellman_ford(e, start).collect()}
+    assert len(settled) == 2 and got["c40"] > 40 and got["alone"] == 0.0 and not {"u", None} & set(got)
+    monkeypatch.setattr(graph, "LINKS", 0)
+    assert {r.node: r.cost for r in graph.bellman_ford(e, start).collect()} == got
