@@ -222,3 +222,18 @@ def test_costs_of_few_links_take_one_task(spark, monkeypatch):
     assert len(settled) == 2 and got["c40"] > 40 and got["alone"] == 0.0 and not {"u", None} & set(got)
     monkeypatch.setattr(graph, "LINKS", 0)
     assert {r.node: r.cost for r in graph.bellman_ford(e, start).collect()} == got
+
+
+def test_simplify_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (3, 4), (4, 5), (5, 6), (6, 3), (8, 9)]
+    e = spark.createDataFrame(rows, "src long, dst long").mapInArrow(pass_on, "src long, dst long")
+    got = {tuple(r) for r in clusters.simplify(e).collect()}
+    assert got == {(0, 2), (0, 3), (2, 3), (8, 9)}
+    assert read.value == len(rows)
