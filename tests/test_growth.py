@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import along, blocks, clusters, fields, geometry, graph, matching, packing, paths, probes, rangejoin, search, spatial
+from fieldloom.sources import tables
 
 
 def plain_spanner(xyz, stretch):
@@ -237,3 +238,26 @@ def test_simplify_reads_its_edges_once(spark):
     got = {tuple(r) for r in clusters.simplify(e).collect()}
     assert got == {(0, 2), (0, 3), (2, 3), (8, 9)}
     assert read.value == len(rows)
+
+
+def test_supply_pairs_of_large_tables_take_more_tasks(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in tables.supply_edges(spark, folder).collect())
+    monkeypatch.setattr(tables, "ROWS", 500)
+    x = tables.supply_edges(spark, folder)
+    sizes = [n for n in x.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) >= len(want) / 500 and max(sizes) < 1000
+    assert sorted(tuple(r) for r in x.collect()) == want
+
+
+def test_degree_reads_its_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("a", "b"), ("a", "c"), ("b", "c"), ("d", "d")]
+    got = graph.degree(spark.createDataFrame(rows, "src string, dst string").mapInArrow(pass_on, "src string, dst string")).collect()
+    assert {tuple(r) for r in got} == {("a", 2), ("b", 2), ("c", 2), ("d", 2)} and read.value == len(rows)
